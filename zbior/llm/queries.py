@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zbior.llm import leakage, lines, spans, split, tokens
+from zbior.llm import canon, leakage, lines, spans, split, tokens
 from zbior.sources.tables import table
 
 
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    return canon.map_values(table(spark, folder, "forum_users", "id", "localization", "religion"), "id", ["localization", "religion"], table(spark, folder, "canon_values"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """For each typed place and religion the entry it means, 0 if none."""
+    return _mapped(spark, folder).select(F.col("id").alias("user_id"), "field", "ref_id").distinct()
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed values that mean no entry, and how many rows have them."""
+    return _mapped(spark, folder).filter("ref_id = 0").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_spans(table(spark, folder, "forum_posts", "id", "content"), "id", "content", 120)
 
@@ -71,5 +85,5 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared, p5_found, p5_clean, p8_ids, p9_found, p9_coverage, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_shared, p5_found, p5_clean, p8_ids, p9_found, p9_coverage, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
