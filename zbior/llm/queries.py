@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zbior.llm import canon, leakage, lines, spans, split, tokens
-from zbior.sources.tables import table
+from zbior.llm import canon, leakage, lines, pii, spans, split, tokens, toxic
+from zbior.sources.tables import latest, table
 
 
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +37,47 @@ def p2_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_characters(_spans(spark, folder)).withColumnRenamed("id", "post_id")
 
 
+def _details(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_details(table(spark, folder, "forum_posts", "id", "content"), "id", "content")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every personal detail in a post, with its kind and place."""
+    return _details(spark, folder).select(F.col("id").alias("post_id"), F.explode("details").alias("d")).select("post_id", "d.kind", F.col("d.start").cast("long").alias("start_char")).distinct()
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every post's content with typed placeholders in the place of personal details."""
+    return _details(spark, folder).select(F.col("id").alias("post_id"), "redacted", F.size("details").cast("long").alias("n_details")).distinct()
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    posts = table(spark, folder, "forum_posts", "id", "content")
+    return toxic.score_posts(posts, "id", "content", toxic.fit(posts, table(spark, folder, "post_labels"), "id", "content"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Abusive, hateful or sexually explicit posts."""
+    return _scores(spark, folder).filter("toxic").select(F.col("id").alias("post_id")).distinct()
+
+
+def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every post's score."""
+    return _scores(spark, folder).select(F.col("id").alias("post_id"), "score", "toxic").distinct()
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each forum the number of posts, of bad ones, and their share."""
+    posts = _scores(spark, folder).groupBy("id").agg(F.max("toxic").alias("toxic")).join(table(spark, folder, "forum_posts", "id", "thread_id").distinct(), "id")
+    threads = latest(table(spark, folder, "forum_threads", "id", "section_id", "updated_at"), ["id"], ["updated_at"])
+    sections = table(spark, folder, "forum_sections", "id", "forum_id")
+    forums = table(spark, folder, "forums", "id", "title")
+    per_thread = posts.groupBy("thread_id").agg(F.count("*").alias("n"), F.count_if("toxic").alias("bad"))
+    chain = per_thread.join(threads.select(F.col("id").alias("thread_id"), "section_id"), "thread_id").join(sections.select(F.col("id").alias("section_id"), "forum_id"), "section_id")
+    rates = chain.join(forums.select(F.col("id").alias("forum_id"), F.col("title").alias("forum")), "forum_id").groupBy("forum_id", "forum")
+    return rates.agg(F.sum("n").alias("n_posts"), F.sum("bad").alias("n_toxic"), F.round(F.sum("bad") / F.sum("n"), 4).alias("rate"))
+
+
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_lines(table(spark, folder, "articles", "id", "weekly_name", "article_url", "article_content"), "id", "article_url", "weekly_name", "article_content", 6)
 
@@ -85,5 +126,5 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_shared, p5_found, p5_clean, p8_ids, p9_found, p9_coverage, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_shared, p3_found, p3_redacted, p4_found, p4_scores, p4_rates, p5_found, p5_clean, p8_ids, p9_found, p9_coverage, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
