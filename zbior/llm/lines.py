@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zbior.llm import rolling
+from zbior.session import cut_lineage
 
 #: Characters that decide about a cut, and one place in how many is a cut.
 WINDOW, RATE = 16, 32
+#: Most recurring chunks that are sent to every executor; beyond it, the lines' chunks are shuffled to them.
+BROADCAST_CHUNKS = 2_000_000
 
 _DIGITS = re.compile(r"\d+")
 
@@ -50,9 +53,10 @@ def _signed(x: int) -> int:
 
 
 def _lines(df: DataFrame, key: str, document: str, source: str, text: str) -> DataFrame:
-    """``key``, ``src``, ``doc``, ``line_no`` (from 1), ``line`` (comparable) and ``chunks`` of every line that is not blank."""
+    """``key``, ``src``, ``doc`` (hashes), ``line_no`` (from 1), ``line`` (128-bit digest) and ``chunks`` of every line that is not blank."""
     kind = df.schema[key].dataType.simpleString()
-    todo = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("src"), F.col(document).cast("string").alias("doc"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0)
+    hashed = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0")))
+    todo = df.select(F.col(key).alias("key"), hashed(source).alias("src"), F.when(F.col(document).isNotNull(), hashed(document)).alias("doc"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,12 +70,13 @@ def _lines(df: DataFrame, key: str, document: str, source: str, text: str) -> Da
                             numbers.append(n)
                             lines.append(plain)
                 take = pa.array(rows, pa.int64())
+                digests = pa.array([xxhash.xxh3_128_digest(line.encode()) for line in lines], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(take) for c in range(3)), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(chunk_lines(lines) if lines else [], pa.list_(pa.int64()))],
+                    [*(part.column(c).take(take) for c in range(3)), pa.array(numbers, pa.int64()), digests, pa.array(chunk_lines(lines) if lines else [], pa.list_(pa.int64()))],
                     ["key", "src", "doc", "line_no", "line", "chunks"],
                 )
 
-    return todo.mapInArrow(run, f"key {kind}, src string, doc string, line_no long, line string, chunks array<long>")
+    return todo.mapInArrow(run, f"key {kind}, src long, doc long, line_no long, line binary, chunks array<long>")
 
 
 def repeated_lines(df: DataFrame, key: str, document: str, source: str, text: str, at_least: int = 6) -> DataFrame:
@@ -81,12 +86,15 @@ def repeated_lines(df: DataFrame, key: str, document: str, source: str, text: st
     once. Null and empty texts have no lines, blank lines count in ``line_no`` but are never reported; a null
     source is a source, a null document is none. A repeated row's lines come out once. Counts are
     aggregated before they are shuffled, so a chunk that is in every document costs each task one row.
+    Documents, sources and lines travel as 64- and 128-bit hashes, never as text.
     """
     lines = _lines(df, key, document, source, text)
-    chunks = lines.select("key", "src", "doc", "line_no", "line", F.size("chunks").alias("n"), F.explode("chunks").alias("chunk"))
-    often = chunks.select(F.coalesce("src", F.lit("\0")).alias("src"), "chunk", "doc").groupBy("src", "chunk").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= at_least).select("src", "chunk")
-    here = chunks.withColumn("src", F.coalesce("src", F.lit("\0"))).join(often, ["src", "chunk"], "left_semi")
-    whole = here.groupBy("key", "src", "doc", "line_no", "line", "n").agg(F.count("*").alias("found")).filter("found % n = 0")
+    chunks = lines.select("src", "doc", F.explode("chunks").alias("chunk"))
+    often = cut_lineage(chunks.groupBy("src", "chunk").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= at_least).select("src", "chunk"))
+    if often.count() <= BROADCAST_CHUNKS:
+        often = F.broadcast(often)
+    each = lines.select("key", "src", "doc", "line_no", "line", F.size("chunks").alias("n"), F.explode("chunks").alias("chunk"))
+    whole = each.join(often, ["src", "chunk"], "left_semi").groupBy("key", "src", "doc", "line_no", "line", "n").agg(F.count("*").alias("found")).filter("found % n = 0")
     same = whole.groupBy("src", "line").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= at_least).select("src", "line")
     return whole.join(same, ["src", "line"], "left_semi").select(F.col("key").alias(key), "line_no").distinct()
 
