@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from zbior.functions.dates import SPACE
 
 #: Least Jaccard similarity of letters and letter pairs at which a value means an entry.
 THRESHOLD = 0.52
+#: Most distinct tokens whose counts are sent to every executor.
+MAX_TOKENS = 200_000
 
 # Words around a value that do not belong to it.
 BEFORE = "gm gmina okolice k kolo miasto m parafia par diecezja archidiecezja obecnie teraz pl woj wies wyznanie raczej".split()
@@ -67,18 +70,24 @@ def tokens(form: str) -> list[str]:
     return out
 
 
-def _sets(df: DataFrame, value: str, make) -> DataFrame:
-    """``df`` (field, id, ``value``) with ``form`` and ``tokens``, one row for each form that ``make`` gives."""
+def _sets(df: DataFrame, value: str, make, rank: Broadcast | None = None) -> DataFrame:
+    """``df`` (field, id, ``value``) with ``form`` and ``tokens``, one row for each form that ``make`` gives.
+
+    With ``rank`` (token counts by field) the tokens come rarest first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rank.value if rank else None
         for batch in batches:
-            rows, found = [], []
+            rows, found, sets = [], [], []
+            fields = batch.column(0).to_pylist()
             for i, v in enumerate(batch.column(2).to_pylist()):
-                own = make(v)
-                rows += [i] * len(own)
-                found += own
+                for form in make(v):
+                    rows.append(i)
+                    found.append(form)
+                    sets.append(tokens(form) if counts is None else sorted(tokens(form), key=lambda t: (counts.get((fields[i], t), 0), t)))  # noqa: B023
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.string()), pa.array([tokens(f) for f in found], pa.list_(pa.string()))], ["field", "id", "form", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.string()), pa.array(sets, pa.list_(pa.string()))], ["field", "id", "form", "tokens"])
 
     kind = df.schema["id"].dataType.simpleString()
     return df.select("field", "id", value).mapInArrow(run, f"field string, id {kind}, form string, tokens array<string>")
@@ -90,22 +99,34 @@ def match_values(values: DataFrame, reference: DataFrame, threshold: float = THR
     ``reference`` has ref_id, field, canonical and aliases (array). Values are made distinct first, so a
     value that a third of all rows share is one row. Null and blank values and values without letters match
     nothing; equal entries resolve to the lowest ref_id; an empty table on either side gives no row.
+    Token counts are as many as an alphabet has letters and pairs; they reach the driver only while they
+    are no more than ``MAX_TOKENS``, else they are joined to the exploded sets.
     """
-    left = _sets(values.select("field", F.col("value").alias("id"), "value").filter("value is not null").distinct(), "value", lambda v: [f] if (f := compact(v)) else [])
-    named = reference.select("field", F.col("ref_id").cast("long").alias("id"), F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    right = _sets(named.filter("name is not null").distinct(), "name", forms).distinct()
+    typed = values.select("field", F.col("value").alias("id"), "value").filter("value is not null").distinct()
+    # comparing costs far more than its few bytes tell, so the number of partitions is named and stays
+    typed = typed.repartition(max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.sparkSession.sparkContext.defaultParallelism), "field", "value")
+    named = reference.select("field", F.col("ref_id").cast("long").alias("id"), F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).filter("name is not null").distinct()
+    own = lambda v: [f] if (f := compact(v)) else []
+    left, right = _sets(typed, "value", own), _sets(named, "name", forms)
     count = lambda df: df.select("field", F.explode("tokens").alias("token"))
     rarity = count(left).unionByName(count(right)).groupBy("field", "token").agg(F.count("*").alias("df"))
-
-    def ordered(df: DataFrame, side: str) -> DataFrame:
-        each = df.select("field", "id", "form", F.explode("tokens").alias("token")).join(rarity, ["field", "token"])
-        sets = each.groupBy("field", "id", "form").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("sorted"))
+    counted = rarity.limit(MAX_TOKENS + 1).collect()
+    if len(counted) <= MAX_TOKENS:
+        rank = values.sparkSession.sparkContext.broadcast({(r["field"], r["token"]): r["df"] for r in counted})
+        left, right = (df.withColumnRenamed("tokens", "sorted") for df in (_sets(typed, "value", own, rank), _sets(named, "name", forms, rank)))
+    else:
+        left, right = (
+            df.select("field", "id", "form", F.explode("tokens").alias("token")).join(rarity, ["field", "token"]).groupBy("field", "id", "form")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("sorted"))
+            for df in (left, right)
+        )
+
+    def prefixed(df: DataFrame, side: str) -> DataFrame:
         n = F.size("sorted")
-        prefix = F.slice("sorted", F.lit(1), n - F.ceil(F.lit(threshold) * n).cast("int") + 1)
-        sets = sets.select("field", F.col("id").alias(f"id_{side}"), F.col("form").alias(f"form_{side}"), F.transform("sorted", lambda x: x["token"]).alias(f"set_{side}"), n.alias(f"n_{side}"), F.posexplode(prefix).alias(f"pos_{side}", "rare"))
-        return sets.withColumn("token", F.col("rare.token")).drop("rare")
+        rare = F.slice("sorted", F.lit(1), n - F.ceil(F.lit(threshold) * n).cast("int") + 1)
+        return df.select("field", F.col("id").alias(f"id_{side}"), F.col("form").alias(f"form_{side}"), F.col("sorted").alias(f"set_{side}"), n.alias(f"n_{side}"), F.posexplode(rare).alias(f"pos_{side}", "token"))
 
-    a, b = ordered(left, "a"), ordered(right, "b")
+    a, b = prefixed(left, "a"), prefixed(right, "b")
     need = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b"))
     near = (F.col("n_b") >= threshold * F.col("n_a")) & (F.col("n_a") >= threshold * F.col("n_b")) & (1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= need - 1e-9)
     both = F.size(F.array_intersect("set_a", "set_b"))
