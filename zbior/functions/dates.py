@@ -119,3 +119,48 @@ def _fields(p: Column) -> Column:
 def wall_seconds(ts: Column) -> Column:
     """Seconds since 1970-01-01 of a timestamp's displayed wall clock, whatever its type and the session's zone."""
     return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+# The months that the two display parsers know; other names make a date unreadable for them.
+_BOARD_MONTHS = {"sty": 1, "lut": 2, "mar": 3, "kwi": 4, "kwie": 4, "maj": 5, "maja": 5, "cze": 6, "lip": 7, "sie": 8, "wrz": 9, "paź": 10, "lis": 11, "gru": 12}
+_STORE_MONTHS = {**_BOARD_MONTHS, "lipa": 7, "sierpnia": 8, "września": 9, "października": 10, "listopada": 11, "grudnia": 12}
+
+
+def _display(text: Column, as_of: Column, forms: list[tuple[str, str]], months: dict[str, int]) -> Column:
+    s = F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), r"^(Śr|Pt|Pn|So|N|Cz|Wt)\s+(?=\S+ \d{1,2}, \d{4} \d{1,2}:\d{2} [ap]m)", "")
+    low = F.lower(s)
+    clock = F.struct(F.regexp_extract(s, r"(\d{1,2}):(\d{2})", 1).try_cast("int").alias("h"), F.regexp_extract(s, r"(\d{1,2}):(\d{2})", 2).try_cast("int").alias("m"))
+    day = F.when(low.contains("dzisiaj"), F.to_date(as_of)).when(low.contains("wczoraj"), F.date_sub(F.to_date(as_of), 1))
+    hour, minute = F.coalesce(clock["h"], F.hour(as_of)), F.coalesce(clock["m"], F.minute(as_of))
+    relative = F.when((hour < 24) & (minute < 60), F.format_string("%s %02d:%02d:%02d", day.cast("string"), hour, minute, F.second(as_of).cast("int")))
+    form = None
+    for pattern, out in forms:
+        hit, value = s.rlike(pattern), F.regexp_replace(s, pattern + (".*" if not pattern.endswith("$") else ""), out)
+        form = F.when(hit, value) if form is None else form.when(hit, value)
+    p = F.split(form, r"\|", -1)
+    h = p[3].try_cast("int")
+    h = F.when(p[5] == "pm", F.when(h != 12, h + 12).otherwise(h)).when(p[5] == "am", F.when(h == 12, 0).otherwise(h)).otherwise(h)
+    month = F.coalesce(_lookup(months, F.lower(p[1])), p[1].try_cast("int"))
+    date = F.format_string("%04d-%02d-%02d", p[0].try_cast("int"), month, p[2].try_cast("int")).try_cast("date")
+    fixed = F.when((h < 24) & (p[4].try_cast("int") < 60), F.format_string("%s %02d:%02d:00", date.cast("string"), h, p[4].try_cast("int")))
+    return F.when(day.isNotNull(), relative).when(date.isNotNull() & month.isNotNull(), fixed)
+
+
+def board_date(text: Column, as_of: Column) -> Column:
+    """``YYYY-MM-DD HH:MM:SS`` from what boards show: today and yesterday (with the seconds of ``as_of``), 12-hour
+    ``mar 16, 2005 11:07 pm`` after a weekday, ``27 lip 2025, 16:46``; null for anything else."""
+    forms = [
+        (r"^([\p{L}\p{N}_]+)\s+(\d{1,2}),\s+(\d{4})\s+(\d{1,2}):(\d{2})\s+(am|pm)", "$3|$1|$2|$4|$5|$6"),
+        (r"^(\d{1,2})\s+([\p{L}\p{N}_]+)\s+(\d{4}),\s+(\d{1,2}):(\d{2})", "$3|$2|$1|$4|$5|"),
+    ]
+    return _display(text, as_of, forms, _BOARD_MONTHS)
+
+
+def stored_date(text: Column, as_of: Column) -> Column:
+    """As ``board_date``, with more month names, 24-hour dates after a weekday and ISO dates, without am and pm."""
+    forms = [
+        (r"^(\d{1,2})\s+([\p{L}\p{N}_]+)\s+(\d{4}),\s+(\d{1,2}):(\d{2})", "$3|$2|$1|$4|$5|"),
+        (r"^[^\s]+\s+([a-ząćęłńóśźż]+)\s+(\d{1,2}),\s+(\d{4})\s+(\d{1,2}):(\d{2})$", "$3|$1|$2|$4|$5|"),
+        (r"^(\d{4})-(\d{2})-(\d{2}),?\s+(\d{1,2}):(\d{2})", "$1|$2|$3|$4|$5|"),
+    ]
+    return _display(text, as_of, forms, _STORE_MONTHS)
