@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from zbior.functions.text import strip
 
@@ -95,7 +96,7 @@ def light_domain_stats(urls: Column) -> Column:
     return F.struct(F.coalesce(F.size(F.coalesce(urls, F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("external_links_count"), F.size(domains).cast("long").alias("unique_domains_count"), F.sort_array(domains).alias("domains"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """``link`` resolved against ``base`` by RFC 3986; null if either is null."""
     from urllib.parse import urljoin

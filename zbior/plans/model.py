@@ -70,7 +70,7 @@ def post_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 # Patterns of the default entity annotator.
 ENTITIES = {
-    "PERSON": r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+(?:ski|cki|ska|cka|iuk|ec)\b",
+    "PERSON": r"\p{Lu}\p{Ll}+(?:ski|cki|ska|cka|iuk|ec)\b",
     "ORG": r"(?:redakcja|kaplica|parafia|szkoła|biblioteka|drużyna) \p{L}+",
     "GPE": r"[0-9]{2}-[0-9]{3} \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
