@@ -61,7 +61,7 @@ class Splitter:
 
     def _place(self, text: str, n: int, count: int, at: np.ndarray, whole: np.ndarray, cuts: np.ndarray) -> list[Piece] | None:
         hard = count > n  # a token a piece: nothing gives way any more, cut where a character ends
-        pieces, start = [], 0
+        pieces, start, last = [], 0, 0
         while True:
             if n - at[start] <= self.limit + 8 and (rest := len(self.encoder.encode(text[start:]))) <= self.limit:
                 return [*pieces, Piece(start, len(text), rest)]
@@ -73,7 +73,7 @@ class Splitter:
             enough = n - (left - 1) * (self.limit - self.overlap)  # a cut before would leave too much for the rest
             top = at[start] + self.limit
             low, high = np.searchsorted(at, [min(max(target - width, enough), top), min(target + width, top)], "left")
-            low = max(int(low), start + 1)
+            low = max(int(low), last + 1)
             near = np.arange(low, min(int(high), len(text) - 1) + 1)
             while True:
                 best = near[cuts[near] > 0]
@@ -82,15 +82,20 @@ class Splitter:
                 else:
                     best = near[whole[near]] if whole[near].any() else near
                 if not len(best):
-                    end, used = start + 1, len(self.encoder.encode(text[start : start + 1]))
                     break
                 end = int(best[np.argmin(np.abs(at[best] - target))])
                 used = len(self.encoder.encode(text[start:end]))
                 if used <= self.limit:
                     break
                 near = near[near < end]
+            if not len(best):  # nothing beyond the last piece fits: give up its repetition, then the limit
+                if start < last:
+                    start = last
+                    continue
+                end = start + 1
+                used = len(self.encoder.encode(text[start:end]))
             pieces.append(Piece(start, end, used))
-            start = self._repeat(start, end, at, whole, cuts)
+            start, last = self._repeat(start, end, at, whole, cuts), end
 
     def _repeat(self, start: int, end: int, at: np.ndarray, whole: np.ndarray, cuts: np.ndarray) -> int:
         """Where the next piece starts: at most ``overlap`` tokens before ``end``, at a boundary if there is one."""
