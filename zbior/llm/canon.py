@@ -57,8 +57,9 @@ def compact(text: str) -> str:
 
 
 def forms(text: str) -> list[str]:
-    """An entry's compact forms: as it stands and with its words shortened."""
-    return sorted({compact(text), compact(" ".join(SHORT.get(w, w) for w in plain_words(text)))} - {""})
+    """An entry's compact forms: as it stands, without the words around it, and with its words shortened."""
+    words = plain_words(text)
+    return sorted({"".join(words), compact(text), compact(" ".join(SHORT.get(w, w) for w in words))} - {""})
 
 
 def tokens(form: str) -> list[str]:

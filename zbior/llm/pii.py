@@ -187,7 +187,7 @@ def _numbers(text: str) -> Iterator[Span]:
         letters, digits = re.sub(r"[\W\d_]", "", m[0]), re.sub(r"\D", "", m[0])
         good = _check(letters, digits, (7, 3, 1, 9, 7, 3, 1, 7, 3))
         features = [f"{len(letters)} letters", "check good" if good else "check bad", f"letters {'upper' if letters.isupper() else 'lower' if letters.islower() else 'mixed'}", "ascii" if letters.isascii() else "not ascii"]
-        yield Span(m.start(), m.end(), "id_number", [*_around(text, m.start(), m.end(), "id_number"), *features, "a word" if letters.lower() in NOT_STREET else "no word", "compact" if len(m[0]) <= 10 else "spread"])
+        yield Span(m.start(), m.end(), "id_number", [*_around(text, m.start(), m.end(), "id_number"), *features, "a word" if letters.islower() and letters in NOT_STREET else "no word", "compact" if len(m[0]) <= 10 else "spread"])
 
 
 def _addresses(text: str) -> Iterator[Span]:
