@@ -127,23 +127,26 @@ _STORE_MONTHS = {**_BOARD_MONTHS, "lipa": 7, "sierpnia": 8, "września": 9, "pa
 
 
 def _display(text: Column, as_of: Column, forms: list[tuple[str, str]], months: dict[str, int]) -> Column:
-    s = F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), r"^(Śr|Pt|Pn|So|N|Cz|Wt)\s+(?=\S+ \d{1,2}, \d{4} \d{1,2}:\d{2} [ap]m)", "")
-    low = F.lower(s)
-    clock = F.struct(F.regexp_extract(s, r"(\d{1,2}):(\d{2})", 1).try_cast("int").alias("h"), F.regexp_extract(s, r"(\d{1,2}):(\d{2})", 2).try_cast("int").alias("m"))
-    day = F.when(low.contains("dzisiaj"), F.to_date(as_of)).when(low.contains("wczoraj"), F.date_sub(F.to_date(as_of), 1))
-    hour, minute = F.coalesce(clock["h"], F.hour(as_of)), F.coalesce(clock["m"], F.minute(as_of))
-    relative = F.when((hour < 24) & (minute < 60), F.format_string("%s %02d:%02d:%02d", day.cast("string"), hour, minute, F.second(as_of).cast("int")))
-    form = None
-    for pattern, out in forms:
-        hit, value = s.rlike(pattern), F.regexp_replace(s, pattern + (".*" if not pattern.endswith("$") else ""), out)
-        form = F.when(hit, value) if form is None else form.when(hit, value)
-    p = F.split(form, r"\|", -1)
-    h = p[3].try_cast("int")
-    h = F.when(p[5] == "pm", F.when(h != 12, h + 12).otherwise(h)).when(p[5] == "am", F.when(h == 12, 0).otherwise(h)).otherwise(h)
-    month = F.coalesce(_lookup(months, F.lower(p[1])), p[1].try_cast("int"))
-    date = F.format_string("%04d-%02d-%02d", p[0].try_cast("int"), month, p[2].try_cast("int")).try_cast("date")
-    fixed = F.when((h < 24) & (p[4].try_cast("int") < 60), F.format_string("%s %02d:%02d:00", date.cast("string"), h, p[4].try_cast("int")))
-    return F.when(day.isNotNull(), relative).when(date.isNotNull() & month.isNotNull(), fixed)
+    s = F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), r"^(?:Śr|Pt|Pn|So|N|Cz|Wt)\s+(?=\S+ \d{1,2}, \d{4} \d{1,2}:\d{2} [ap]m)", "")
+
+    def fixed(p: Column) -> Column:
+        hour, minute = p[3].try_cast("int"), p[4].try_cast("int")
+        hour = F.when(p[5] == "pm", F.when(hour != 12, hour + 12).otherwise(hour)).when(p[5] == "am", F.when(hour == 12, 0).otherwise(hour)).otherwise(hour)
+        month = F.coalesce(_lookup(months, F.lower(p[1])), p[1].try_cast("int"))
+        date = F.format_string("%04d-%02d-%02d", p[0].try_cast("int"), month, p[2].try_cast("int")).try_cast("date")
+        return F.when(date.isNotNull() & month.isNotNull() & (hour < 24) & (minute < 60), F.format_string("%s %02d:%02d:00", date.cast("string"), hour, minute))
+
+    def read(s: Column) -> Column:
+        low, clock = F.lower(s), r"(\d{1,2}):(\d{2})"
+        day = F.when(low.contains("dzisiaj"), F.to_date(as_of)).when(low.contains("wczoraj"), F.date_sub(F.to_date(as_of), 1))
+        hour, minute = F.coalesce(F.regexp_extract(s, clock, 1).try_cast("int"), F.hour(as_of)), F.coalesce(F.regexp_extract(s, clock, 2).try_cast("int"), F.minute(as_of))
+        out = F.when(day.isNotNull(), F.when((hour < 24) & (minute < 60), F.format_string("%s %02d:%02d:%02d", day.cast("string"), hour, minute, F.second(as_of).cast("int"))))
+        for pattern, fields in forms:
+            parts = F.split(F.regexp_replace(s, pattern + ("" if pattern.endswith("$") else ".*"), fields), r"\|", -1)
+            out = out.when(s.rlike(pattern), F.transform(F.array(parts), fixed)[0])
+        return out
+
+    return F.transform(F.array(s), read)[0]  # so that each step is computed once
 
 
 def board_date(text: Column, as_of: Column) -> Column:

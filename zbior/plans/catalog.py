@@ -97,33 +97,40 @@ def top_users(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT token AS lemma, count(*) AS frequency, count(DISTINCT id) AS posts_with_word FROM annotated WHERE is_alpha AND NOT is_stop AND length(token) > 3 GROUP BY token ORDER BY frequency DESC, lemma LIMIT 50""")
 def top_lemmas(spark: SparkSession, folder: str) -> DataFrame:
-    """The fifty most frequent words that carry a topic; counted within each post first."""
-    words = model.post_tokens(spark, folder).filter("is_alpha and not is_stop and length(lemma) > 3")
-    per_post = words.groupBy("id", "lemma").agg(F.count("*").alias("n"))
-    return per_post.groupBy("lemma").agg(F.sum("n").alias("frequency"), F.count("*").alias("posts_with_word")).orderBy(F.desc("frequency"), "lemma").limit(50)
+    """The fifty most frequent words that carry a topic.
+
+    A post's words are one row, so both counts aggregate before anything is shuffled; only then are words judged.
+    """
+    words = model.post_words(spark, folder)
+    all_of, once = (words.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias(n)) for c, n in ((F.col("w"), "frequency"), (F.array_distinct("w"), "posts_with_word")))
+    kept = model.annotate(all_of).filter("is_alpha and not is_stop and length(lemma) > 3").select("token", "lemma", "frequency")
+    return kept.join(once, "token").select("lemma", "frequency", "posts_with_word").orderBy(F.desc("frequency"), "lemma").limit(50)
 
 
 @query("""SELECT pos, count(*) AS n, round(count(*)::DOUBLE * 100 / sum(count(*)) OVER (), 2) AS percentage FROM annotated WHERE is_alpha GROUP BY pos ORDER BY n DESC""")
 def pos_share(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of each word class."""
-    counts = model.post_tokens(spark, folder).filter("is_alpha").groupBy("pos").agg(F.count("*").alias("n"))
+    """Share of each word class; words are counted first and judged once each."""
+    words = model.post_words(spark, folder).select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = model.annotate(words).filter("is_alpha").groupBy("pos").agg(F.sum("n").alias("n"))
     return counts.selectExpr("pos", "n", "round(cast(n as double) * 100 / sum(n) over (), 2) AS percentage").orderBy(F.desc("n"))
 
 
 @query("""SELECT case_form, count(*) AS frequency, count(DISTINCT id) AS posts_count FROM annotated WHERE pos = 'NOUN' GROUP BY case_form ORDER BY frequency DESC""")
 def noun_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases of nouns, read from the JSON of features."""
-    case = F.get_json_object("morph", "$.Case").alias("case_form")
-    own = model.post_tokens(spark, folder).filter("pos = 'NOUN'").select("id", case).filter("case_form is not null")
-    return own.groupBy("id", "case_form").agg(F.count("*").alias("n")).groupBy("case_form").agg(F.sum("n").alias("frequency"), F.count("*").alias("posts_count")).orderBy(F.desc("frequency"))
+    """Cases of nouns, read from the JSON of features; each post sends one row for each of its cases."""
+    case = lambda t: F.when(tk.word_class(t) == "NOUN", F.get_json_object(tk.morphology(t), "$.Case"))
+    own = model.post_words(spark, folder).select(F.filter(F.transform("w", case), lambda c: c.isNotNull()).alias("c"))
+    own = own.select("c", F.explode(F.array_distinct("c")).alias("case_form")).select("case_form", F.size(F.filter("c", lambda c: c == F.col("case_form"))).alias("n"))
+    return own.groupBy("case_form").agg(F.sum("n").alias("frequency"), F.count("*").alias("posts_count")).orderBy(F.desc("frequency"))
 
 
 @query("""SELECT forum, gender, count(*) AS frequency FROM annotated JOIN places USING (thread_id) WHERE pos IN ('NOUN', 'ADJ') GROUP BY forum, gender ORDER BY forum, frequency DESC""")
 def genders_by_forum(spark: SparkSession, folder: str) -> DataFrame:
-    """Grammatical genders in each forum."""
-    own = model.post_tokens(spark, folder).filter(F.col("pos").isin("NOUN", "ADJ")).select("thread_id", F.get_json_object("morph", "$.Gender").alias("gender")).filter("gender is not null")
-    counts = own.groupBy("thread_id", "gender").agg(F.count("*").alias("n"))
-    return _where(spark, folder, counts).groupBy("forum", "gender").agg(F.sum("n").alias("frequency")).orderBy("forum", F.desc("frequency"))
+    """Grammatical genders in each forum; words are counted by forum first and judged once each."""
+    words = model.post_words(spark, folder).join(model.places(spark, folder).select("thread_id", "forum"), "thread_id").select("forum", F.explode("w").alias("token"))
+    counts = model.annotate(words.groupBy("forum", "token").agg(F.count("*").alias("n"))).filter(F.col("pos").isin("NOUN", "ADJ"))
+    own = counts.select("forum", F.get_json_object("morph", "$.Gender").alias("gender"), "n").filter("gender is not null")
+    return own.groupBy("forum", "gender").agg(F.sum("n").alias("frequency")).orderBy("forum", F.desc("frequency"))
 
 
 @query("""SELECT p.id, forum, content, polarity, subjectivity, u.username, p.post_date FROM linguistics l JOIN posts p ON p.id = l.id JOIN users u ON p.user_id = u.id JOIN places ON p.thread_id = places.thread_id WHERE polarity > 0.5 ORDER BY polarity DESC, subjectivity DESC, p.id LIMIT 10""")
@@ -151,16 +158,17 @@ def readability_by_section(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT forum, count(DISTINCT id) AS posts_with_keywords, count(DISTINCT token) AS unique_words FROM annotated JOIN places USING (thread_id) WHERE token IN ({quoted(KEYWORDS)}) AND is_alpha GROUP BY forum_id, forum ORDER BY posts_with_keywords DESC""")
 def keyword_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Posts of each forum with a keyword."""
-    hits = model.post_tokens(spark, folder).filter(F.col("lemma").isin(KEYWORDS) & F.col("is_alpha")).select("id", "thread_id", "lemma").distinct()
+    """Posts of each forum with a keyword; the other words never leave their row."""
+    hits = model.post_words(spark, folder).select("id", "thread_id", F.explode(F.array_intersect("w", F.array(*map(F.lit, KEYWORDS)))).alias("lemma"))
     return _where(spark, folder, hits).groupBy("forum_id", "forum").agg(F.count_distinct("id").alias("posts_with_keywords"), F.count_distinct("lemma").alias("unique_words")).drop("forum_id").orderBy(F.desc("posts_with_keywords"))
 
 
 @query(f"""SELECT forum, token AS lemma, count(*) AS frequency, count(DISTINCT id) AS posts_count FROM annotated JOIN places USING (thread_id) WHERE token IN ({quoted(VOCABULARY)}) AND is_alpha GROUP BY forum, token ORDER BY forum, frequency DESC""")
 def keyword_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """How often each forum uses each keyword."""
-    per_post = model.post_tokens(spark, folder).filter(F.col("lemma").isin(VOCABULARY) & F.col("is_alpha")).groupBy("id", "thread_id", "lemma").agg(F.count("*").alias("n"))
-    return _where(spark, folder, per_post).groupBy("forum", "lemma").agg(F.sum("n").alias("frequency"), F.count("*").alias("posts_count")).orderBy("forum", F.desc("frequency"))
+    own = model.post_words(spark, folder).withColumn("w", F.filter("w", lambda t: t.isin(VOCABULARY))).filter(F.size("w") > 0)
+    own = own.select("thread_id", "w", F.explode(F.array_distinct("w")).alias("lemma")).select("thread_id", "lemma", F.size(F.filter("w", lambda t: t == F.col("lemma"))).alias("n"))
+    return _where(spark, folder, own).groupBy("forum", "lemma").agg(F.sum("n").alias("frequency"), F.count("*").alias("posts_count")).orderBy("forum", F.desc("frequency"))
 
 
 _KEY = ["weekly_name", "issue_number", "issue_year"]

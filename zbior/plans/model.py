@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zbior.functions import text as tx
 from zbior.functions import tokens as tk
 from zbior.functions import urls as ur
-from zbior.sources.tables import latest, table
+from zbior.sources.tables import latest, latest_wide, table
 
 # Categories of the archive's own domains, besides the general lists.
 OWN_DOMAINS = {
@@ -23,7 +23,9 @@ ADDRESS = r"https?://[^\s\"';,|\]]+"
 
 def posts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Each post as last fetched."""
-    return latest(table(spark, folder, "forum_posts", "id", *columns, "updated_at"), ["id"], ["updated_at"]).drop("updated_at" if "updated_at" not in columns else "")
+    own = table(spark, folder, "forum_posts", "id", *columns, "updated_at")
+    wide = {"content", "content_urls"} & set(columns)
+    return (latest_wide(own, "id", "updated_at") if wide else latest(own, ["id"], ["updated_at"])).drop("updated_at")
 
 
 def threads(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -41,13 +43,22 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
     return threads(spark, folder, "section_id").withColumnRenamed("id", "thread_id").join(sections, "section_id").join(forums, "forum_id")
 
 
-def post_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per word of a post: id, thread_id, position, token (lower-case), and the default annotation."""
-    words = posts(spark, folder, "thread_id", "content").select("id", "thread_id", F.posexplode(tk.tokens(F.col("content"))).alias("position", "token"))
+def post_words(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Each post's words in order as one array ``w`` (lower-case), with id and thread_id."""
+    return posts(spark, folder, "thread_id", "content", *columns).withColumn("w", tk.tokens(F.col("content"))).drop("content")
+
+
+def annotate(words: DataFrame) -> DataFrame:
+    """``words`` (token, …) with the default annotation of each token."""
     t = F.col("token")
     return words.withColumns({"lemma": t, "pos": tk.word_class(t), "is_alpha": t.rlike(r"^\p{L}+$"), "is_stop": t.isin(tk.STOP), "morph": tk.morphology(t)})
 
 
+def post_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per word of a post: id, thread_id, position, token, and the default annotation."""
+    return annotate(post_words(spark, folder).select("id", "thread_id", F.posexplode("w").alias("position", "token")))
+
+
 def post_linguistics(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Statistics of each post with words: sentences, words, characters, readability, sentiment."""
     own = posts(spark, folder, "thread_id", "content", *columns).withColumn("w", tk.tokens(F.col("content"))).filter(F.size("w") > 0)

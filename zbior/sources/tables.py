@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from zbior.session import cut_lineage
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """``folder/name.parquet``; with ``columns``, only those (the scan reads no others)."""
@@ -25,6 +27,28 @@ def latest(df: DataFrame, keys: list[str], order: list[str | Column], tie: list[
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
+#: Most keys fetched again that are sent to every executor.
+BROADCAST_KEYS = 2_000_000
+
+
+def latest_wide(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``latest`` for wide rows of which few were fetched again: texts are not shuffled.
+
+    The keys with several rows are found from the narrow columns; while they are few enough, each task drops
+    the older rows by looking them up, else rows are reduced by key. Rows with a null key all stay.
+    """
+    each = df.groupBy(key, order).agg(F.count("*").alias("__n"))
+    again = each.groupBy(key).agg(F.sum("__n").alias("__rows"), F.max(F.struct(order, "__n")).alias("__top")).filter("__rows > 1")
+    again = cut_lineage(again.select(key, F.col("__top")[order].alias("__last"), (F.col("__top.__n") > 1).alias("__tied")))
+    count, tied = again.agg(F.count("*"), F.count_if("__tied")).first()
+    if count > BROADCAST_KEYS:
+        return latest(df, [key], [order])
+    plain = df.join(F.broadcast(again), key, "left").filter(F.col("__last").isNull() | (F.col(order) == F.col("__last")) & ~F.col("__tied")).select(df.columns)
+    if not tied:
+        return plain
+    return plain.unionByName(latest(df.join(F.broadcast(again.filter("__tied").select(key)), key, "left_semi"), [key], [order]).select(df.columns))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key by a window, for small dimension tables with unorderable columns."""
     w = Window.partitionBy(*keys).orderBy(*order)
