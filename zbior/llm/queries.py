@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zbior.llm import canon, leakage, lines, pii, spans, split, tokens, toxic
-from zbior.sources.tables import latest, table
+from zbior.sources.tables import latest, spread, table
 
 
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.shared_spans(table(spark, folder, "forum_posts", "id", "content"), "id", "content", 120)
+    return spans.shared_spans(spread(table(spark, folder, "forum_posts", "id", "content")), "id", "content", 120)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p2_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _details(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.find_details(table(spark, folder, "forum_posts", "id", "content"), "id", "content")
+    return pii.find_details(spread(table(spark, folder, "forum_posts", "id", "content")), "id", "content")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     posts = table(spark, folder, "forum_posts", "id", "content")
-    return toxic.score_posts(posts, "id", "content", toxic.fit(posts, table(spark, folder, "post_labels"), "id", "content"))
+    return toxic.score_posts(spread(posts), "id", "content", toxic.fit(posts, table(spark, folder, "post_labels"), "id", "content"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.repeated_lines(table(spark, folder, "articles", "id", "weekly_name", "article_url", "article_content"), "id", "article_url", "weekly_name", "article_content", 6)
+    return lines.repeated_lines(spread(table(spark, folder, "articles", "id", "weekly_name", "article_url", "article_content")), "id", "article_url", "weekly_name", "article_content", 6)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,11 +95,11 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.encode_column(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return tokens.encode_column(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "item_text"))
+    return leakage.find_leaks(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items", "item_id", "item_text"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +113,7 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return split.split_oversized(table(spark, folder, "documents", "doc_id", "text"), limit=1000, overlap=50)
+    return split.split_oversized(spread(table(spark, folder, "documents", "doc_id", "text")), limit=1000, overlap=50)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
