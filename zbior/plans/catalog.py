@@ -103,7 +103,8 @@ def top_lemmas(spark: SparkSession, folder: str) -> DataFrame:
     """
     words = model.post_words(spark, folder)
     all_of, once = (words.select(F.explode(c).alias("token")).groupBy("token").agg(F.count("*").alias(n)) for c, n in ((F.col("w"), "frequency"), (F.array_distinct("w"), "posts_with_word")))
-    kept = model.annotate(all_of).filter("is_alpha and not is_stop and length(lemma) > 3").select("token", "lemma", "frequency")
+    # the condition goes into the count: as a filter on the word it would be pushed below the aggregation
+    kept = model.annotate(all_of).selectExpr("token", "lemma", "CASE WHEN is_alpha AND NOT is_stop AND length(lemma) > 3 THEN frequency END AS frequency").filter("frequency is not null")
     return kept.join(once, "token").select("lemma", "frequency", "posts_with_word").orderBy(F.desc("frequency"), "lemma").limit(50)
 
 
@@ -111,7 +112,7 @@ def top_lemmas(spark: SparkSession, folder: str) -> DataFrame:
 def pos_share(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each word class; words are counted first and judged once each."""
     words = model.post_words(spark, folder).select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    counts = model.annotate(words).filter("is_alpha").groupBy("pos").agg(F.sum("n").alias("n"))
+    counts = model.annotate(words).selectExpr("pos", "CASE WHEN is_alpha THEN n END AS n").groupBy("pos").agg(F.sum("n").alias("n")).filter("n is not null")
     return counts.selectExpr("pos", "n", "round(cast(n as double) * 100 / sum(n) over (), 2) AS percentage").orderBy(F.desc("n"))
 
 
@@ -128,9 +129,9 @@ def noun_cases(spark: SparkSession, folder: str) -> DataFrame:
 def genders_by_forum(spark: SparkSession, folder: str) -> DataFrame:
     """Grammatical genders in each forum; words are counted by forum first and judged once each."""
     words = model.post_words(spark, folder).join(model.places(spark, folder).select("thread_id", "forum"), "thread_id").select("forum", F.explode("w").alias("token"))
-    counts = model.annotate(words.groupBy("forum", "token").agg(F.count("*").alias("n"))).filter(F.col("pos").isin("NOUN", "ADJ"))
-    own = counts.select("forum", F.get_json_object("morph", "$.Gender").alias("gender"), "n").filter("gender is not null")
-    return own.groupBy("forum", "gender").agg(F.sum("n").alias("frequency")).orderBy("forum", F.desc("frequency"))
+    counts = model.annotate(words.groupBy("forum", "token").agg(F.count("*").alias("n")))
+    own = counts.select("forum", F.get_json_object("morph", "$.Gender").alias("gender"), F.when(F.col("pos").isin("NOUN", "ADJ"), F.col("n")).alias("n"))
+    return own.groupBy("forum", "gender").agg(F.sum("n").alias("frequency")).filter("frequency is not null").orderBy("forum", F.desc("frequency"))
 
 
 @query("""SELECT p.id, forum, content, polarity, subjectivity, u.username, p.post_date FROM linguistics l JOIN posts p ON p.id = l.id JOIN users u ON p.user_id = u.id JOIN places ON p.thread_id = places.thread_id WHERE polarity > 0.5 ORDER BY polarity DESC, subjectivity DESC, p.id LIMIT 10""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zbior.operators import packed, zones
-from zbior.sources.tables import table
+from zbior.sources.tables import spread, table
 
 #: Table, key and column of each displayed date.
 DATES = [("forum_posts", "post_date"), ("forum_threads", "last_post_date"), ("forum_users", "join_date")]
@@ -17,7 +17,7 @@ PACKED = [("articles", "article_authors", "names"), ("articles", "article_tags",
 
 
 def _instants(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [table(spark, folder, t, "id", c, "updated_at").select(F.lit(c).alias("field"), F.col("id").alias("rec_id"), F.col(c).alias("raw"), "updated_at") for t, c in DATES]
+    parts = [spread(table(spark, folder, t, "id", c, "updated_at")).select(F.lit(c).alias("field"), F.col("id").alias("rec_id"), F.col(c).alias("raw"), "updated_at") for t, c in DATES]
     return zones.to_instants(reduce(DataFrame.unionByName, parts), "raw", "updated_at")
 
 

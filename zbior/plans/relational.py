@@ -13,7 +13,7 @@ from zbior.operators import resolve, upsert
 from zbior.plans import model
 from zbior.plans.model_sql import MODEL, quoted
 from zbior.sources import pages
-from zbior.sources.tables import table
+from zbior.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,14 +35,14 @@ _words = f"regexp_extract_all(lower(coalesce(text, '')), '{tk.WORD}')"
 @query(f"""SELECT doc_id, len(w) AS total_tokens, len(list_distinct(w)) AS unique_tokens, CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w)::DOUBLE ELSE 0.0::DOUBLE END AS avg_token_length FROM (SELECT doc_id, {_words} AS w FROM documents)""")
 def token_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Token statistics of every document."""
-    own = table(spark, folder, "documents", "doc_id", "text").withColumn("w", tk.tokens(F.col("text")))
+    own = spread(table(spark, folder, "documents", "doc_id", "text")).withColumn("w", tk.tokens(F.col("text")))
     return own.select("doc_id", tk.token_stats(F.col("w")).alias("s")).select("doc_id", "s.*")
 
 
 @query(f"""SELECT doc_id, unnest(generate_series(0, len(w) - 1)) AS position, unnest(w) AS token FROM (SELECT doc_id, {_words} AS w FROM documents) WHERE len(w) > 0""")
 def token_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of every document with its place."""
-    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.posexplode(tk.tokens(F.col("text"))).alias("position", "token")).withColumn("position", F.col("position").cast("long"))
+    return spread(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.posexplode(tk.tokens(F.col("text"))).alias("position", "token")).withColumn("position", F.col("position").cast("long"))
 
 
 _hits = ", ".join(f"len(list_filter(w, LAMBDA t: t IN ({quoted(x)}))) AS {k}" for k, x in (("p", tk.POSITIVE), ("m", tk.NEGATIVE), ("r", tk.RELIGIOUS)))
@@ -51,7 +51,7 @@ _hits = ", ".join(f"len(list_filter(w, LAMBDA t: t IN ({quoted(x)}))) AS {k}" fo
 @query(f"""SELECT doc_id, CASE WHEN p + m > 0 THEN (p - m) / (p + m)::DOUBLE ELSE 0.0::DOUBLE END AS polarity, CASE WHEN p + m > 0 THEN least(1.0::DOUBLE, (p + m + 0.5::DOUBLE * r) / n) WHEN r > 0 THEN least(1.0::DOUBLE, r / n::DOUBLE) ELSE 0.0::DOUBLE END AS subjectivity FROM (SELECT doc_id, len(w) AS n, {_hits} FROM (SELECT doc_id, {_words} AS w FROM documents))""")
 def lexicon_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """Sentiment of every document by lexicon."""
-    own = table(spark, folder, "documents", "doc_id", "text").withColumn("w", tk.tokens(F.col("text")))
+    own = spread(table(spark, folder, "documents", "doc_id", "text")).withColumn("w", tk.tokens(F.col("text")))
     return own.select("doc_id", tk.sentiment(F.col("w")).alias("s")).select("doc_id", "s.*")
 
 
@@ -64,7 +64,7 @@ def readability(spark: SparkSession, folder: str) -> DataFrame:
     """Readability of every document, clamped and before."""
     text = F.coalesce("text", F.lit(""))
     n, s, c = F.size(tk.tokens(text)).cast("long"), tk.sentence_count(text), F.length(text).cast("long")
-    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", n.alias("n"), s.alias("s"), c.alias("c")).select("doc_id", F.round(tk.raw_readability(F.col("n"), F.col("s"), F.col("c")), 6).alias("raw"), F.round(tk.readability(F.col("n"), F.col("s"), F.col("c")), 6).alias("score"))
+    return spread(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", n.alias("n"), s.alias("s"), c.alias("c")).select("doc_id", F.round(tk.raw_readability(F.col("n"), F.col("s"), F.col("c")), 6).alias("raw"), F.round(tk.readability(F.col("n"), F.col("s"), F.col("c")), 6).alias("score"))
 
 
 #: A post dressed in a board's markup, as a crawl would find it.
@@ -123,7 +123,7 @@ def post_numbers(spark: SparkSession, folder: str) -> DataFrame:
 @query(None)
 def displayed_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Dates of posts as the two display parsers read them, else as they stand."""
-    own = table(spark, folder, "forum_posts", "id", "post_date", "updated_at").distinct()
+    own = spread(table(spark, folder, "forum_posts", "id", "post_date", "updated_at")).distinct()
     d, at = F.col("post_date"), F.col("updated_at")
     return own.select("id", "updated_at", F.coalesce(dt.board_date(d, at), d).alias("board"), F.coalesce(dt.stored_date(d, at), d).alias("stored"))
 

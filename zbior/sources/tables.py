@@ -14,6 +14,18 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs more than reading.
+
+    A scan of so few splits is small, so moving its rows costs little; a large one stays as it is read.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _few(df) else df
+
+
+def _few(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().toRdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str | Column], tie: list[str] | None = None) -> DataFrame:
     """One row per key: the one with the greatest ``order``, then the greatest ``tie``.
 
@@ -35,8 +47,11 @@ def latest_wide(df: DataFrame, key: str, order: str) -> DataFrame:
     """``latest`` for wide rows of which few were fetched again: texts are not shuffled.
 
     The keys with several rows are found from the narrow columns; while they are few enough, each task drops
-    the older rows by looking them up, else rows are reduced by key. Rows with a null key all stay.
+    the older rows by looking them up, else rows are reduced by key, as they are where the scan is too small to
+    busy all cores and a shuffle spreads it. Null keys are expected nowhere (here they would all stay).
     """
+    if _few(df):
+        return latest(df, [key], [order])
     each = df.groupBy(key, order).agg(F.count("*").alias("__n"))
     again = each.groupBy(key).agg(F.sum("__n").alias("__rows"), F.max(F.struct(order, "__n")).alias("__top")).filter("__rows > 1")
     again = cut_lineage(again.select(key, F.col("__top")[order].alias("__last"), (F.col("__top.__n") > 1).alias("__tied")))
