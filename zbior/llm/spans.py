@@ -108,6 +108,11 @@ def _verify(pairs: DataFrame, span: int) -> DataFrame:
     return pairs.mapInArrow(run, "ids_a array<string>, ids_b array<string>, runs array<struct<a:int,b:int,n:int>>")
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, marked to be sent to every executor if they have been counted to be few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def shared_spans(df: DataFrame, key: str, text: str, span: int = 120) -> DataFrame:
     """``id_a`` < ``id_b`` (text) and ``runs`` of every pair of records that share ``span`` or more identical characters.
 
@@ -125,15 +130,13 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 120) -> DataFra
     a, b = (digests.select("h", F.col("k").alias(f"k{x}"), F.col("pos").alias(x)) for x in "ab")
     met = a.join(b, "h").filter("ka < kb").groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("anchors"))
     met = cut_lineage(met)
-    wanted = met.select(F.col("ka").alias("k")).union(met.select(F.col("kb").alias("k"))).distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    wanted = _few(met.select(F.col("ka").alias("k")).union(met.select(F.col("kb").alias("k"))).distinct())
     texts = keyed.join(wanted, "k", "left_semi").groupBy("k", "content").agg(F.collect_set("id").alias("ids"))
     side = lambda x: texts.select(F.col("k").alias(f"k{x}"), F.col("content").alias(f"t{x}"), F.col("ids").alias(f"ids_{x}"))
     found = _verify(met.join(side("a"), "ka").join(side("b"), "kb").select("ids_a", "ids_b", "ta", "tb", "anchors"), span)
     found = found.select(F.explode("ids_a").alias("x"), "ids_b", "runs").select("x", F.explode("ids_b").alias("y"), "runs")
     copies = keyed.select("k", "id", "content")
-    many = copies.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("k")
+    many = _few(cut_lineage(copies.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("k")))
     copies = copies.join(many, "k", "left_semi").groupBy("k", "content", "id").agg(F.lit(1).alias("one"))
     left = copies.select("k", "content", F.col("id").alias("x"))
     right = copies.select("k", "content", F.col("id").alias("y"))
