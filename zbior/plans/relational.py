@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from zbior.functions import tokens as tk
 from zbior.functions import urls as ur
 from zbior.operators import resolve, upsert
 from zbior.plans import model
-from zbior.plans.model_sql import MODEL, quoted
+from zbior.plans.model import OWN_DOMAINS
+from zbior.plans.model_sql import EDUCATIONAL, MEDIA, MODEL, RELIGIOUS, SOCIAL, quoted
+from zbior.session import shared_folder
 from zbior.sources import pages
 from zbior.sources.tables import spread, table
+from zbior.streaming.upsert import current, upsert_stream, windowed_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -189,3 +194,44 @@ def post_pages(spark: SparkSession, folder: str) -> DataFrame:
     cell = [F.lit('<table><tr class="row1"><td><b class="postauthor">'), F.col("username"), F.lit('</b></td><td><span class="postdate">'), F.col("post_date"), F.lit('</span><a href="viewtopic.php?p=1">#</a><div class="postbody">'), F.col("content"), F.lit("<blockquote>cytat</blockquote></div></td></tr></table>")]
     page = own.select(F.xxhash64("id").alias("page_id"), F.col("id").alias("url"), F.concat(*cell).alias("html"))
     return pages.extract(page, "posts", "tables").select(F.col("url").alias("id"), "username", "text", "post_date")
+
+
+_count = lambda test, name: f"count(DISTINCT domain) FILTER ({test}) AS {name}"
+
+
+@query(f"""SELECT p.id, count(u.url) AS total_urls, count(DISTINCT domain) AS unique_domains, {_count(RELIGIOUS, 'religious_urls')}, {_count(MEDIA, 'media_urls')}, {_count(SOCIAL, 'social_urls')}, {_count(EDUCATIONAL, 'educational_urls')}, {_count("category = 'unknown'", 'unknown_urls')} FROM posts p LEFT JOIN urls u ON p.id = u.id GROUP BY p.id""", prelude=True)
+def post_url_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of every post, and its distinct domains by category (which may overlap)."""
+    found = F.regexp_extract_all(F.replace("content_urls", F.lit("\\/"), F.lit("/")), F.lit(model.ADDRESS), F.lit(0))
+    return model.posts(spark, folder, "content_urls").select("id", ur.url_stats(found, OWN_DOMAINS).alias("s")).select("id", "s.*")
+
+
+@query("""SELECT id, count(*) AS total_entities, count(*) FILTER (label = 'PERSON') AS person_entities, count(*) FILTER (label = 'ORG') AS org_entities, count(*) FILTER (label = 'GPE') AS gpe_entities, count(*) FILTER (label NOT IN ('PERSON', 'ORG', 'GPE')) AS other_entities FROM entities GROUP BY id""", prelude=True)
+def post_entity_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of each post by kind of their label."""
+    kinds = {"person_entities": "person", "org_entities": "org", "gpe_entities": "gpe", "other_entities": "other"}
+    own = model.post_entities(spark, folder).withColumn("kind", tx.entity_kind(F.col("label")))
+    return own.groupBy("id").agg(F.count("*").alias("total_entities"), *[F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()])
+
+
+def _streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a stream of its files (a glob, since a stream reads folders)."""
+    path = f"{folder}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+@query("""SELECT id, username, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS n FROM forum_users) WHERE n = 1""")
+def users_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """Users after a stream of fetches was merged batch by batch."""
+    place = f"{shared_folder(spark)}/users-{uuid.uuid4().hex}"
+    upsert_stream(_streamed(spark, folder, "forum_users"), f"{place}/table", f"{place}/progress", ["id"], "updated_at").awaitTermination()
+    return current(spark, f"{place}/table").select("id", "username", "updated_at")
+
+
+@query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of each day by type, from a stream; days that the watermark has closed."""
+    place = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    counts = windowed_counts(_streamed(spark, folder, "events"), "ts", "event_type", "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    counts.writeStream.outputMode("append").format("parquet").option("path", f"{place}/table").option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/table")

@@ -21,13 +21,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder named in ``spark.checkpoint.dir`` and read from there.
-
-    A frame that feeds several branches of a plan is computed once, and a lost executor costs only its
-    own tasks. The folder is the cluster's shared one; only where none is set (tests) is one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``; only tests without one get their own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,4 +31,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir names no shared folder")
             folder = tempfile.mkdtemp(prefix="zbior-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there.
+
+    A frame that feeds several branches of a plan is computed once, and a lost executor costs only its
+    own tasks.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
