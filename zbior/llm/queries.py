@@ -127,4 +127,21 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_shared, p3_found, p3_redacted, p4_found, p4_scores, p4_rates, p5_found, p5_clean, p8_ids, p9_found, p9_coverage, p10_found, p10_pieces)}
-SQL: dict[str, str] = {}
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+_LINES = f"""lines AS (SELECT id, weekly_name, article_url, unnest(generate_series(1, len(l))) AS line_no, unnest(l) AS line FROM (SELECT *, string_split(article_content, chr(10)) AS l FROM articles WHERE article_content IS NOT NULL)),
+plain AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g')), '\\p{{Nd}}+', '0', 'g') AS form FROM lines),
+often AS (SELECT weekly_name, form FROM plain WHERE form <> '' GROUP BY weekly_name, form HAVING count(DISTINCT article_url) >= 6),
+cut AS (SELECT DISTINCT p.id, p.line_no FROM plain p JOIN often o ON p.weekly_name = o.weekly_name AND p.form = o.form)"""
+_WORDS = "regexp_extract_all(lower(replace(replace(strip_accents(nfc_normalize({0})), 'ł', 'l'), 'Ł', 'L')), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "SELECT {0}, array_to_string(w[i:i + 19], ' ') AS run FROM (SELECT {0}, w, unnest(generate_series(1, len(w) - 19)) AS i FROM (SELECT {0}, {1} AS w FROM {2}) WHERE len(w) >= 20)"
+
+#: SQL with the same rows, by brute force where that is fast enough on whole tables.
+SQL = {
+    "p2_found": """WITH runs AS (SELECT id, substring(content, i, 120) AS run FROM (SELECT id, content, unnest(generate_series(1, length(content) - 119)) AS i FROM (SELECT DISTINCT id, content FROM forum_posts WHERE length(content) >= 120))),
+met AS (SELECT run FROM runs GROUP BY run HAVING min(id) < max(id)), shared AS (SELECT DISTINCT r.id, r.run FROM runs r JOIN met ON r.run = met.run)
+SELECT DISTINCT a.id AS post_a, b.id AS post_b FROM shared a JOIN shared b ON a.run = b.run AND a.id < b.id""",
+    "p5_found": f"WITH {_LINES} SELECT id AS article_id, line_no FROM cut",
+    "p5_clean": f"""WITH {_LINES}, kept AS (SELECT l.id, string_agg(line, chr(10) ORDER BY l.line_no) FILTER (c.id IS NULL) AS clean, count(c.id) AS n_cut FROM lines l LEFT JOIN cut c ON l.id = c.id AND l.line_no = c.line_no GROUP BY l.id)
+SELECT a.id AS article_id, CASE WHEN a.article_content IS NOT NULL THEN coalesce(clean, '') END AS clean, coalesce(n_cut, 0) AS n_cut FROM articles a LEFT JOIN kept k ON a.id = k.id""",
+    "p9_found": f"""WITH d AS ({_RUNS.format("doc_id", _WORDS.format("text"), "documents")}), e AS ({_RUNS.format("item_id", _WORDS.format("item_text"), "eval_items")}) SELECT DISTINCT doc_id, item_id FROM d JOIN e ON d.run = e.run""",
+}
