@@ -43,8 +43,8 @@ def _forums_and(spark: SparkSession, folder: str, counts: DataFrame) -> DataFram
     return forums.join(counts, "forum_id", "left")
 
 
-@query("""SELECT f.spider_name AS forum, f.title, count(DISTINCT p.id) AS posts_count, count(DISTINCT p.user_id) AS users_count, count(DISTINCT t.id) AS threads_count, min(p.created_at) AS first_post, max(p.created_at) AS last_post
-FROM forums f LEFT JOIN forum_sections s ON f.id = s.forum_id LEFT JOIN threads t ON s.id = t.section_id LEFT JOIN posts p ON t.id = p.thread_id GROUP BY f.id, f.spider_name, f.title ORDER BY posts_count DESC""")
+@query(""", per_forum AS (SELECT forum_id, count(*) AS posts_count, count(DISTINCT user_id) AS users_count, min(created_at) AS first_post, max(created_at) AS last_post FROM (SELECT p.*, forum_id FROM posts p JOIN places USING (thread_id)) GROUP BY forum_id)
+SELECT spider_name AS forum, title, coalesce(posts_count, 0) AS posts_count, coalesce(users_count, 0) AS users_count, (SELECT count(*) FROM places WHERE forum_id = forums.id) AS threads_count, first_post, last_post FROM forums LEFT JOIN per_forum ON forum_id = id""")
 def forum_activity(spark: SparkSession, folder: str) -> DataFrame:
     """Posts, users and threads of each forum, with the first and last post.
 
@@ -59,20 +59,20 @@ def forum_activity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("forum", "title", "posts_count", "users_count", "threads_count", "first_post", "last_post").orderBy(F.desc("posts_count"))
 
 
-@query("""SELECT f.spider_name AS forum, count(p.id) AS posts_count FROM forums f LEFT JOIN forum_sections s ON f.id = s.forum_id LEFT JOIN threads t ON s.id = t.section_id LEFT JOIN posts p ON t.id = p.thread_id GROUP BY f.id, f.spider_name ORDER BY posts_count DESC""")
+@query("""SELECT spider_name AS forum, (SELECT count(*) FROM posts JOIN places USING (thread_id) WHERE forum_id = forums.id) AS posts_count FROM forums""")
 def forum_post_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Posts of each forum."""
     counts = _where(spark, folder, model.posts(spark, folder, "thread_id").groupBy("thread_id").agg(F.count("*").alias("n"))).groupBy("forum_id").agg(F.sum("n").alias("posts_count"))
     return _forums_and(spark, folder, counts).fillna(0).select("forum", "posts_count").orderBy(F.desc("posts_count"))
 
 
-@query("""SELECT f.spider_name AS forum, count(p.id) AS posts, count(DISTINCT t.id) AS threads, count(DISTINCT p.user_id) AS users FROM forums f LEFT JOIN forum_sections s ON f.id = s.forum_id LEFT JOIN threads t ON s.id = t.section_id LEFT JOIN posts p ON t.id = p.thread_id GROUP BY f.spider_name""")
+@query("""SELECT spider_name AS forum, (SELECT count(*) FROM (SELECT p.*, forum_id FROM posts p JOIN places USING (thread_id)) WHERE forum_id = forums.id) AS posts, (SELECT count(*) FROM places WHERE forum_id = forums.id) AS threads, (SELECT count(DISTINCT user_id) FROM (SELECT p.*, forum_id FROM posts p JOIN places USING (thread_id)) WHERE forum_id = forums.id) AS users FROM forums""")
 def live_progress(spark: SparkSession, folder: str) -> DataFrame:
     """Counts while a crawl runs: posts, distinct threads and users."""
     return forum_activity(spark, folder).select("forum", F.col("posts_count").alias("posts"), F.col("threads_count").alias("threads"), F.col("users_count").alias("users"))
 
 
-@query("""SELECT f.spider_name AS forum, f.title, count(DISTINCT s.id) AS sections, count(DISTINCT t.id) AS threads, count(DISTINCT p.user_id) AS users, count(DISTINCT p.id) AS posts FROM forums f LEFT JOIN forum_sections s ON f.id = s.forum_id LEFT JOIN threads t ON s.id = t.section_id LEFT JOIN posts p ON t.id = p.thread_id LEFT JOIN users u ON p.user_id = u.id GROUP BY f.id, f.spider_name, f.title ORDER BY posts DESC""")
+@query("""SELECT spider_name AS forum, title, (SELECT count(*) FROM forum_sections WHERE forum_id = forums.id) AS sections, (SELECT count(*) FROM places WHERE forum_id = forums.id) AS threads, (SELECT count(DISTINCT user_id) FROM (SELECT p.*, forum_id FROM posts p JOIN places USING (thread_id)) WHERE forum_id = forums.id) AS users, (SELECT count(*) FROM (SELECT p.*, forum_id FROM posts p JOIN places USING (thread_id)) WHERE forum_id = forums.id) AS posts FROM forums""")
 def crawl_levels(spark: SparkSession, folder: str) -> DataFrame:
     """How many sections, threads, users and posts each forum has."""
     sections = table(spark, folder, "forum_sections", "forum_id").groupBy("forum_id").agg(F.count("*").alias("sections")).join(table(spark, folder, "forums", "id", "spider_name").select(F.col("id").alias("forum_id"), F.col("spider_name").alias("forum")), "forum_id")
@@ -87,7 +87,7 @@ def top_sections(spark: SparkSession, folder: str) -> DataFrame:
     return _where(spark, folder, per_thread).groupBy("section_id", "section").agg(F.sum("n").alias("posts_count"), F.count("*").alias("threads_count")).orderBy(F.desc("posts_count"), "section_id").limit(10)
 
 
-@query("""SELECT u.id, u.username, count(p.id) AS posts_count, u.join_date, u.religion, u.gender FROM users u JOIN posts p ON u.id = p.user_id GROUP BY u.id, u.username, u.join_date, u.religion, u.gender ORDER BY posts_count DESC, u.id LIMIT 20""")
+@query("""SELECT users.id, username, n AS posts_count, join_date, religion, gender FROM (SELECT user_id, count(*) AS n FROM posts GROUP BY user_id ORDER BY n DESC, user_id LIMIT 21) JOIN users ON users.id = user_id ORDER BY n DESC, users.id LIMIT 20""")
 def top_users(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty users with most posts."""
     counts = model.posts(spark, folder, "user_id").filter("user_id is not null").groupBy("user_id").agg(F.count("*").alias("posts_count"))
@@ -173,15 +173,16 @@ def keyword_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _KEY = ["weekly_name", "issue_number", "issue_year"]
-_LIKE = "contains(translate(a.article_authors, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(au.name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+# an author's name somewhere in the packed field, upper and lower case of A to Z alike
+_NAMED = "contains(translate(article_authors, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
 
 
 def _issues(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "weekly_issues", "id", *_KEY, *columns).withColumnRenamed("id", "issue_id")
 
 
-@query(f"""SELECT i.weekly_name AS weekly, count(DISTINCT i.id) AS issues_count, count(DISTINCT a.id) AS articles_count, count(DISTINCT au.name) AS authors_count, min(i.issue_date) AS first_issue, max(i.issue_date) AS last_issue
-FROM weekly_issues i LEFT JOIN articles a USING (weekly_name, issue_number, issue_year) LEFT JOIN authors au ON {_LIKE} GROUP BY i.weekly_name ORDER BY articles_count DESC""")
+@query(f""", known AS (SELECT * FROM articles SEMI JOIN weekly_issues USING (weekly_name, issue_number, issue_year)), counted AS (SELECT weekly_name, count(*) AS n FROM known GROUP BY weekly_name), named AS (SELECT weekly_name, count(DISTINCT name) AS n FROM known JOIN authors ON {_NAMED} GROUP BY weekly_name)
+SELECT weekly_name AS weekly, count(*) AS issues_count, coalesce(any_value(counted.n), 0) AS articles_count, coalesce(any_value(named.n), 0) AS authors_count, min(issue_date) AS first_issue, max(issue_date) AS last_issue FROM weekly_issues LEFT JOIN counted USING (weekly_name) LEFT JOIN named USING (weekly_name) GROUP BY weekly_name""")
 def weeklies_overview(spark: SparkSession, folder: str) -> DataFrame:
     """Issues, articles and authors of each weekly; authors by containment in the packed field."""
     issues = _issues(spark, folder, "issue_date").groupBy("weekly_name").agg(F.count("*").alias("issues_count"), F.min("issue_date").alias("first_issue"), F.max("issue_date").alias("last_issue"))
@@ -195,8 +196,8 @@ def weeklies_overview(spark: SparkSession, folder: str) -> DataFrame:
 _SECTIONS = "(SELECT DISTINCT weekly_name, issue_number, issue_year, section_name FROM articles WHERE section_name IS NOT NULL)"
 
 
-@query(f"""SELECT i.weekly_name AS weekly, s.section_name, count(a.id) AS articles_count, round(avg(a.article_word_count), 3) AS avg_word_count FROM weekly_issues i JOIN {_SECTIONS} s USING (weekly_name, issue_number, issue_year) JOIN articles a USING (weekly_name, issue_number, issue_year)
-GROUP BY i.weekly_name, s.section_name ORDER BY articles_count DESC, weekly, section_name LIMIT 20""")
+@query(f"""SELECT weekly_name AS weekly, section_name, sum(n)::BIGINT AS articles_count, round(sum(words) / sum(with_words), 3) AS avg_word_count FROM weekly_issues JOIN {_SECTIONS} USING (weekly_name, issue_number, issue_year)
+JOIN (SELECT weekly_name, issue_number, issue_year, count(*) AS n, count(article_word_count) AS with_words, sum(article_word_count)::DOUBLE AS words FROM articles GROUP BY ALL) USING (weekly_name, issue_number, issue_year) GROUP BY weekly_name, section_name ORDER BY articles_count DESC, weekly, section_name LIMIT 20""")
 def weekly_sections_fanout(spark: SparkSession, folder: str) -> DataFrame:
     """Sections by articles, as the catalogue states it: every section of an issue gets all the issue's articles."""
     articles = table(spark, folder, "articles", "id", *_KEY, "section_name", "article_word_count")
@@ -213,7 +214,7 @@ def weekly_sections(spark: SparkSession, folder: str) -> DataFrame:
     return own.groupBy(F.col("weekly_name").alias("weekly"), "section_name").agg(F.count("*").alias("articles_count"), F.round(F.avg("article_word_count"), 3).alias("avg_word_count")).orderBy(F.desc("articles_count"), "weekly", "section_name").limit(20)
 
 
-@query(f"""SELECT au.name AS author, count(a.id) AS articles_count, count(DISTINCT a.weekly_name) AS weeklies_count, round(avg(a.article_word_count), 3) AS avg_word_count, min(a.scraped_at) AS first_article, max(a.scraped_at) AS last_article FROM authors au JOIN articles a ON {_LIKE} GROUP BY au.name ORDER BY articles_count DESC, author LIMIT 20""")
+@query(f"""SELECT name AS author, count(*) AS articles_count, count(DISTINCT weekly_name) AS weeklies_count, round(avg(article_word_count), 3) AS avg_word_count, min(scraped_at) AS first_article, max(scraped_at) AS last_article FROM articles, authors WHERE {_NAMED} GROUP BY name ORDER BY articles_count DESC, author LIMIT 20""")
 def top_authors(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty authors with most articles, by containment."""
     articles = table(spark, folder, "articles", "id", "weekly_name", "article_authors", "article_word_count", "scraped_at")
@@ -222,8 +223,8 @@ def top_authors(spark: SparkSession, folder: str) -> DataFrame:
     return out.orderBy(F.desc("articles_count"), "author").limit(20)
 
 
-@query("""SELECT i.weekly_name AS weekly, count(a.id) AS articles_count, round(avg(a.article_word_count), 3) AS avg_word_count, min(a.article_word_count) AS min_word_count, max(a.article_word_count) AS max_word_count, count(CASE WHEN a.article_content IS NOT NULL THEN 1 END) AS articles_with_content
-FROM weekly_issues i JOIN articles a USING (weekly_name, issue_number, issue_year) GROUP BY i.weekly_name ORDER BY articles_count DESC""", prelude=False)
+@query("""SELECT weekly_name AS weekly, count(*) AS articles_count, round(avg(article_word_count), 3) AS avg_word_count, min(article_word_count) AS min_word_count, max(article_word_count) AS max_word_count, count(article_content) AS articles_with_content
+FROM articles WHERE (weekly_name, issue_number, issue_year) IN (SELECT (weekly_name, issue_number, issue_year) FROM weekly_issues) GROUP BY weekly_name""", prelude=False)
 def article_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths of articles of each weekly."""
     articles = table(spark, folder, "articles", *_KEY, "article_word_count", "article_content").withColumn("has", F.col("article_content").isNotNull()).drop("article_content")
@@ -231,7 +232,8 @@ def article_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return out.agg(F.count("*").alias("articles_count"), F.round(F.avg("article_word_count"), 3).alias("avg_word_count"), F.min("article_word_count").alias("min_word_count"), F.max("article_word_count").alias("max_word_count"), F.count_if("has").alias("articles_with_content")).orderBy(F.desc("articles_count"))
 
 
-@query(f"""SELECT i.weekly_name AS weekly, count(DISTINCT i.id) AS issues, count(DISTINCT (s.issue_number, s.issue_year, s.section_name)) FILTER (s.section_name IS NOT NULL) AS sections, count(DISTINCT a.id) AS articles, count(DISTINCT au.name) AS authors FROM weekly_issues i LEFT JOIN {_SECTIONS} s USING (weekly_name, issue_number, issue_year) LEFT JOIN articles a USING (weekly_name, issue_number, issue_year) LEFT JOIN authors au ON {_LIKE} GROUP BY i.weekly_name""")
+@query(f""", known AS (SELECT * FROM articles SEMI JOIN weekly_issues USING (weekly_name, issue_number, issue_year)), counted AS (SELECT weekly_name, count(*) AS n FROM known GROUP BY weekly_name), named AS (SELECT weekly_name, count(DISTINCT name) AS n FROM known JOIN authors ON {_NAMED} GROUP BY weekly_name), parts AS (SELECT weekly_name, count(*) AS n FROM {_SECTIONS} SEMI JOIN weekly_issues USING (weekly_name, issue_number, issue_year) GROUP BY weekly_name)
+SELECT weekly_name AS weekly, count(*) AS issues, coalesce(any_value(parts.n), 0) AS sections, coalesce(any_value(counted.n), 0) AS articles, coalesce(any_value(named.n), 0) AS authors FROM weekly_issues LEFT JOIN counted USING (weekly_name) LEFT JOIN named USING (weekly_name) LEFT JOIN parts USING (weekly_name) GROUP BY weekly_name""")
 def weeklies_progress(spark: SparkSession, folder: str) -> DataFrame:
     """How many issues, sections, articles and authors each weekly has."""
     sections = table(spark, folder, "articles", *_KEY, "section_name").filter("section_name is not null").distinct().join(_issues(spark, folder), _KEY, "left_semi").groupBy("weekly_name").agg(F.count("*").alias("sections"))
@@ -249,14 +251,14 @@ def category_refs(spark: SparkSession, folder: str) -> DataFrame:
     return _domains(spark, folder).groupBy("category").agg(F.count("*").alias("domains"), F.sum("total_references").alias("refs")).orderBy(F.desc("refs"))
 
 
-@query("""SELECT d.domain, d.category, d.total_references, count(DISTINCT u.id) AS posts_with_domain FROM domains d JOIN urls u ON d.domain = u.domain GROUP BY d.domain, d.category, d.total_references ORDER BY d.total_references DESC, d.domain LIMIT 20""")
+@query("""SELECT domain, category, count(*) AS total_references, count(DISTINCT id) AS posts_with_domain FROM urls GROUP BY domain, category ORDER BY total_references DESC, domain LIMIT 20""")
 def top_domains(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty domains with most references."""
     per_post = model.post_urls(spark, folder).groupBy("id", "domain", "category").agg(F.count("*").alias("n"))
     return per_post.groupBy("domain", "category").agg(F.sum("n").alias("total_references"), F.count("*").alias("posts_with_domain")).orderBy(F.desc("total_references"), "domain").limit(20)
 
 
-@query(f"""SELECT forum, count(DISTINCT d.domain) AS religious_domains, sum(d.total_references)::BIGINT AS total_religious_links FROM urls u JOIN domains d ON u.domain = d.domain JOIN places USING (thread_id) WHERE {RELIGIOUS.replace('domain', 'd.domain')} GROUP BY forum ORDER BY total_religious_links DESC""")
+@query(f"""SELECT forum, count(*) AS religious_domains, sum(n * total_references)::BIGINT AS total_religious_links FROM (SELECT forum, domain, count(*) AS n FROM urls JOIN places USING (thread_id) WHERE {RELIGIOUS} GROUP BY forum, domain) JOIN domains USING (domain) GROUP BY forum""")
 def religious_domains_by_forum(spark: SparkSession, folder: str) -> DataFrame:
     """Religious domains of each forum, as the catalogue states it: each link adds its domain's whole count."""
     religious = ur.is_religious(F.col("domain"), OWN_DOMAINS["religious"])
