@@ -12,7 +12,8 @@ from zbior.operators import resolve, upsert
 from zbior.operators.containment import containing
 from zbior.pipeline import analyze_jsonl, posts_of_pages
 from zbior.sources import pages
-from zbior.sources.tables import latest
+from zbior.sources import tables
+from zbior.sources.tables import latest, latest_wide, spread
 from zbior.streaming.upsert import current, upsert_stream, windowed_counts
 
 
@@ -26,6 +27,19 @@ def test_latest(spark):
     assert latest(df.limit(0), ["k"], ["seq"]).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_latest_of_wide_rows(spark, monkeypatch, most, parts):
+    monkeypatch.setattr(tables, "BROADCAST_KEYS", most)
+    fetched = [(i % 37, f"v{i % 37}-{i // 37 * (i % 3 > 0)}", i // 37 * (i % 3 > 0)) for i in range(90)]
+    df = spark.createDataFrame(fetched, "id int, v string, seq int").repartition(parts)
+    want = {i: max((q, v) for k, v, q in fetched if k == i) for i in range(37)}
+    got = latest_wide(df, "id", "seq").collect()
+    assert {r.id: (r.seq, r.v) for r in got} == want and len(got) == 37
+    assert latest_wide(df.limit(0), "id", "seq").count() == 0
+    assert spread(df).rdd.getNumPartitions() >= 4
+
+
 def test_replace_is_idempotent_and_null_keys_stay(spark):
     old = spark.createDataFrame([("a", "x", 1), (None, "n", 1)], "id string, v string, seq int")
     new = spark.createDataFrame([("a", "y", 2, 7), (None, "m", 2, 8)], "id string, v string, seq int, extra int")

@@ -23,9 +23,7 @@ ADDRESS = r"https?://[^\s\"';,|\]]+"
 
 def posts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Each post as last fetched."""
-    own = table(spark, folder, "forum_posts", "id", *columns, "updated_at")
-    wide = {"content", "content_urls"} & set(columns)
-    return (latest_wide(own, "id", "updated_at") if wide else latest(own, ["id"], ["updated_at"])).drop("updated_at")
+    return latest_wide(table(spark, folder, "forum_posts", "id", *columns, "updated_at"), "id", "updated_at").drop("updated_at")
 
 
 def threads(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

@@ -53,8 +53,8 @@ def latest_wide(df: DataFrame, key: str, order: str) -> DataFrame:
     if _few(df):
         return latest(df, [key], [order])
     each = df.groupBy(key, order).agg(F.count("*").alias("__n"))
-    again = each.groupBy(key).agg(F.sum("__n").alias("__rows"), F.max(F.struct(order, "__n")).alias("__top")).filter("__rows > 1")
-    again = cut_lineage(again.select(key, F.col("__top")[order].alias("__last"), (F.col("__top.__n") > 1).alias("__tied")))
+    again = each.groupBy(key).agg(F.sum("__n").alias("__rows"), F.max(order).alias("__last"), F.max_by("__n", order).alias("__top")).filter("__rows > 1")
+    again = cut_lineage(again.select(key, "__last", (F.col("__top") > 1).alias("__tied")))
     count, tied = again.agg(F.count("*"), F.count_if("__tied")).first()
     if count > BROADCAST_KEYS:
         return latest(df, [key], [order])
