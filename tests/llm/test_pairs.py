@@ -84,6 +84,24 @@ def test_shared_spans_against_all_pairs(spark):
         spans.shared_spans(df, "id", "content", 80)
 
 
+def test_a_passage_below_the_limit_in_every_record_meets_nobody(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeężz") for _ in range(r.randint(2, 9)))
+    line = " ".join(word() for _ in range(40))[:110]
+    posts = [(f"p{i:03}", " ".join(word() for _ in range(20)) + line + " ".join(word() for _ in range(20))) for i in range(150)]
+    posts += [("q1", "Ala " + line + " ma kota i psa"), ("q2", "Ola " + line + " ma kota i psa")]
+    df = spark.createDataFrame(posts, "id string, content string")
+    digests = spans.chunk_digests(df.selectExpr("xxhash64(content) AS k", "content"), 120)
+    hot = [x.h for x in digests.groupBy("h").count().filter("count > 50").collect()]
+    finer = spans.chunk_digests(df.selectExpr("xxhash64(content) AS k", "content"), 120, hot)
+    assert hot and finer.groupBy("h").agg({"k": "approx_count_distinct"}).filter("`approx_count_distinct(k)` > 50").count() == 0
+    want = brute_pairs(posts, 120)
+    assert ("q1", "q2") in want and len(want) < 20
+    for most in (0, spans.MAX_HOT):
+        monkeypatch.setattr(spans, "MAX_HOT", most)
+        assert {(x.id_a, x.id_b) for x in spans.shared_spans(df, "id", "content", 120).collect()} == want
+
+
 def test_spans_on_posts(spark, data):
     posts = [(r.id, r.content) for r in table(spark, data, "forum_posts", "id", "content").distinct().collect()]
     assert rows(queries.p2_found(spark, data)) == brute_pairs(posts, 120)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ from zbior.session import cut_lineage
 WINDOW = 80
 #: Most records whose key is sent to every executor to pick out their texts; beyond it, keys are shuffled.
 BROADCAST_KEYS = 2_000_000
+#: Records with one digest from which it is replaced by finer ones, and most digests for which that is done (the
+#: most frequent); the result is the same without.
+HOT, MAX_HOT = 50, 500_000
 
 
 def cut_points(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,24 +51,39 @@ def cut_points(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.
     return owner[at], behind[at] + 1, digest[at]
 
 
-def chunk_digests(records: DataFrame, span: int) -> DataFrame:
+def chunk_digests(records: DataFrame, span: int, hot: list[int] = ()) -> DataFrame:
     """``h`` (digest), ``k`` (hash of the content) and ``pos`` of every chunk of ``records`` (k, content).
 
-    Copies of one content within a batch count once, so that a content that is copied a million times
-    leaves its batches as a few rows.
+    For a digest in ``hot``, in its place the digests of all runs of ``span`` characters around its window, so
+    that only records meet that share a whole run. Copies of one content within a batch count once, so that
+    a content that is copied a million times leaves its batches as a few rows.
     """
+    sent = records.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64).view(np.uint64)) if hot else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value if sent else np.zeros(0, np.uint64)
         for batch in batches:
             by = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             keys, texts = np.array(list(by), np.int64), list(by.values())
             for low in range(0, len(texts), 2000):
-                owner, pos, digest = cut_points(texts[low : low + 2000], span)
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(keys[low : low + 2000][owner]), pa.array(pos.astype(np.int32))], ["h", "k", "pos"])
+                own, names = texts[low : low + 2000], keys[low : low + 2000]
+                owner, pos, digest = cut_points(own, span)
+                finer = np.isin(digest, often)
+                rows = []
+                for o, p in zip(owner[finer].tolist(), pos[finer].tolist(), strict=True):
+                    first, last = max(0, p - span), min(p - WINDOW, len(own[o]) - span)
+                    rows += [(_signed(xxhash.xxh3_64_intdigest(own[o][s : s + span].encode())), o, p) for s in range(first, last + 1)]
+                h, o, p = np.array(rows, np.int64).reshape(-1, 3).T
+                h, o, p = (np.concatenate(x) for x in ((digest[~finer].view(np.int64), h), (owner[~finer], o), (pos[~finer], p)))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(names[o]), pa.array(p.astype(np.int32))], ["h", "k", "pos"])
 
     return records.mapInArrow(run, "h long, k long, pos int")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _runs(a: str, b: str, anchors: list[dict], span: int) -> list[tuple[int, int, int]]:
     """(start in ``a``, start in ``b``, length) of every common run of at least ``span`` around the anchors."""
     out, reached = [], {}
@@ -120,13 +139,18 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 120) -> DataFra
     short texts share nothing; a record repeated with the same key and text counts once; with one key and
     several texts, each text counts. Equal contents are compared once and expanded at the end through
     their ids. Pairs are the result itself; before it only records that share a digest meet, in a join
-    whose skew the engine splits, never in a group held by one task.
+    whose skew the engine splits, never in a group held by one task. A digest that very many records share
+    (a line longer than the window but shorter than ``span``, say) gives way to the digests of whole runs,
+    so that it makes no more pairs than the result has.
     """
     if span <= WINDOW:
         raise ValueError(f"span must exceed {WINDOW}")
     records = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("content")).filter((F.length("content") >= span) & F.col("id").isNotNull())
     keyed = records.withColumn("k", F.xxhash64("content"))
-    digests = chunk_digests(keyed.select("k", "content"), span).repartition("h").distinct()
+    contents = keyed.select("k", "content")
+    counted = chunk_digests(contents, span).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    hot = [r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
+    digests = chunk_digests(contents, span, hot).distinct()
     a, b = (digests.select("h", F.col("k").alias(f"k{x}"), F.col("pos").alias(x)) for x in "ab")
     met = a.join(b, "h").filter("ka < kb").groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("anchors"))
     met = cut_lineage(met)
