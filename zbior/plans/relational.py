@@ -196,6 +196,20 @@ def post_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(page, "posts", "tables").select(F.col("url").alias("id"), "username", "text", "post_date")
 
 
+def _one_space(column: str) -> str:
+    return f"trim(regexp_replace({column}, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))"
+
+
+@query(f"""SELECT * FROM (SELECT id, {_one_space('username')} AS username, {_one_space("coalesce(content, '')")} AS text, nullif({_one_space('post_date')}, '') AS post_date FROM posts) WHERE username <> ''""", prelude=True)
+def post_pages_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every post with an author read back from thread pages in which the markup's signs are escaped."""
+    shown = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    own = model.posts(spark, folder, "username", "content", "post_date")
+    cell = [F.lit('<table><tr class="row1"><td><b class="postauthor">'), shown(F.col("username")), F.lit('</b></td><td><span class="postdate">'), shown(F.col("post_date")), F.lit('</span><a href="viewtopic.php?p=1">#</a><div class="postbody">'), shown(F.col("content")), F.lit("<blockquote>cytat</blockquote></div></td></tr></table>")]
+    page = own.select(F.xxhash64("id").alias("page_id"), F.col("id").alias("url"), F.concat(*cell).alias("html"))
+    return pages.extract(page, "posts", "tables").select(F.col("url").alias("id"), "username", "text", "post_date")
+
+
 _count = lambda test, name: f"count(DISTINCT domain) FILTER ({test}) AS {name}"
 
 
