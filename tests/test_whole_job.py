@@ -2,6 +2,7 @@
 
 import datetime
 
+from zbior.llm import toxic
 from zbior.plans import QUERIES
 
 AT = datetime.datetime(2025, 8, 1)
@@ -22,3 +23,16 @@ def test_pages_of_every_post(spark, tmp_path):
     want = {(i, plain(u), plain(c), plain(d) or None) for i, u, c, d in posts if plain(u)}
     got = [tuple(r) for r in QUERIES["post_pages_whole"](spark, folder).collect()]
     assert len(got) == 6 and set(got) == want
+
+
+def test_ordinary_text_is_the_whole_sample_and_no_prefix():
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) + "oeu"[k] for k in range(3))
+    posts = [(" ".join(word(997 * i + 31 * k) for k in range(30)), 0.0) for i in range(1500)]
+    last = "zzyw szmata zwisa zza zzyka"
+    model = toxic.train([*posts, (last, 0.0), ("Ty podludzie brudne", 0.0), *[(f"{word(i)} podludzie", 1.0) for i in range(9)]], ["zzyx zzyz zzyt"])
+    assert sum(map(len, model.ordinary)) > 200_000
+    held = set(model.ordinary)
+    assert {" ".join(s) for t in [posts[0][0], posts[-1][0], last, "zzyx zzyz zzyt"] for s in toxic.sentences(t)} <= held
+    assert "ty podludzie brudne" not in held
+    plain, _ = model.compressors
+    assert all(len(plain.compress(toxic._wide(f"  {s} "))) < 20 for s in (model.ordinary[len(model.ordinary) // 2], model.ordinary[-1], model.ordinary[100]))

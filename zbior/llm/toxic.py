@@ -12,10 +12,11 @@ dictionary knows is dear and a known passage cheap, whatever its length.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 #: Most labelled posts that the dictionaries and the threshold are made from, and most others that widen the ordinary text.
 MAX_LABELLED, MAX_OTHERS = 20_000, 4_000
-#: Most characters of ordinary and of toxic text in the dictionaries.
-MAX_ORDINARY, MAX_TOXIC = 120_000, 40_000
+#: Most characters of ordinary text and of passages from posts in the dictionaries. The first bounds memory (36 bytes a character
+#: and worker); the sample of 24 000 posts above fits more than twice.
+MAX_ORDINARY, MAX_TOXIC = 8_000_000, 40_000
 #: Threshold in bytes where labels are too few to calibrate one, and how few that is.
 THRESHOLD, MIN_TOXIC = 6, 30
 #: Words on either side of a suspicious one that make its window.
@@ -104,8 +106,9 @@ def _wide(text: str) -> bytes:
 
 def _compressor(phrases: list[str]) -> zstd.ZstdCompressor:
     content = b"".join(_wide(f"  {p} ") for p in phrases)
+    size = max(20, len(content).bit_length())  # all of the dictionary is within the window and in the tree
     parameters = zstd.ZstdCompressionParameters(
-        format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=18, chain_log=18, search_log=8, min_match=3, target_length=999,
+        format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=size, hash_log=size - 2, chain_log=size + 1, search_log=8, min_match=3, target_length=999,
         strategy=zstd.STRATEGY_BTULTRA2, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=parameters)
@@ -162,6 +165,35 @@ class Model:
         return best
 
 
+def _shuffled(parts: list[list[str]]) -> list[list[str]]:
+    return sorted(parts, key=lambda s: hashlib.blake2b(" ".join(s).encode(), digest_size=8).digest())
+
+
+def _abusive(phrases: list[str], hot: set[str], posts: list[tuple[list[list[str]], float]], every: Counter, bad: Counter) -> Callable[[list[str]], bool]:
+    """Whether a sentence is abusive whatever its own label says, as raters err: it holds a hot word, or a toxic
+    phrase or form of a toxic word that the labels of all posts do not call mostly harmless."""
+    single = {p for p in phrases if " " not in p}
+    stems = {p[: max(5, len(p) - 1)] for p in single if len(p) >= 5}
+    first: dict[str, list[list[str]]] = {}
+    for p in phrases:
+        if " " in p:
+            first.setdefault(p.split()[0], []).append(p.split())
+
+    def held(s: list[str]) -> set[str]:
+        return {" ".join(p) for i, w in enumerate(s) if w in first for p in first[w] if s[i : i + len(p)] == p}
+
+    n, n_bad = Counter(), Counter()
+    for parts, share in posts:
+        own = {p for s in parts for p in held(s)}
+        n.update(own)
+        if share > 0.5:
+            n_bad.update(own)
+    forms = {w for w in bad if len(w) >= 5 and 2 * bad[w] + 1 > every[w] and any(w[:k] in stems for k in range(5, len(w) + 1))}
+    words = hot | forms | {w for w in single if 2 * bad[w] + 1 >= every[w]}
+    passages = {p for p in phrases if " " in p and 2 * n_bad[p] + 1 >= n[p]}
+    return lambda s: not words.isdisjoint(s) or not passages.isdisjoint(held(s))
+
+
 def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[str]]]) -> Model:
     every, bad = Counter(), Counter()
     for parts, share in posts:
@@ -184,16 +216,18 @@ def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[st
         if (room := room - len(p)) < 0:
             break
         toxic.append(p)
-    room = MAX_ORDINARY
     words = {w for p in toxic for w in p.split() if len(w) > 2} - COMMON
+    room = MAX_ORDINARY
     triggers = {w for w in words if bad[w] + 0.3 >= 0.15 * (every[w] + 1)}
-    harmless = [s for parts, share in posts if share == 0 for s in parts]
-    for s in [*harmless, *(s for parts in others for s in parts if triggers.isdisjoint(s))]:
+    abusive = _abusive(_phrases(TOXIC), hot, posts, every, bad)
+    harmless = [s for parts, share in posts if share == 0 for s in parts if not abusive(s)]
+    near = [s for s in harmless if not triggers.isdisjoint(s)]
+    far = [s for s in harmless if triggers.isdisjoint(s)] + [s for parts in others for s in parts if triggers.isdisjoint(s) and not abusive(s)]
+    for s in [*_shuffled(near), *_shuffled(far)]:
         known.update(set(s))
         new = set(zip(["", *s], s)) - pairs
-        if new and room > 0:
+        if new and (room := room - len(" ".join(s))) >= 0:
             pairs |= new
-            room -= len(" ".join(s))
             ordinary.append(" ".join(s))
     return Model(ordinary, toxic, triggers, {w for w, n in known.items() if n >= 2})
 
@@ -201,7 +235,8 @@ def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[st
 def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None] = ()) -> Model:
     """A model from (content, share of raters who call it toxic) and other contents, mostly harmless.
 
-    Order does not matter, both may be empty. Sentences of other contents with a toxic word are left out.
+    Order does not matter, both may be empty. Sentences of other contents with a toxic word are left out, and
+    those that are abusive though their post is labelled harmless.
     """
     posts = [(sentences(t), share) for t, share in sorted(labelled, key=lambda x: (x[0] or "", x[1])) if t]
     others = [sentences(t) for t in sorted(t for t in unlabelled if t)]
