@@ -36,3 +36,23 @@ def test_ordinary_text_is_the_whole_sample_and_no_prefix():
     assert "ty podludzie brudne" not in held
     plain, _ = model.compressors
     assert all(len(plain.compress(toxic._wide(f"  {s} "))) < 20 for s in (model.ordinary[len(model.ordinary) // 2], model.ordinary[-1], model.ordinary[100]))
+
+
+def test_toxic_phrases_of_common_words_and_masked_ones_are_found():
+    model = toxic.train([], [])
+    for text in ["Mam ochotę na", "z tobą, mała", "Pokażę ci", "nie ma tu dla was miejsca", "dzban jeden", "suka jedna", "do g*zu z nimi", "stary most prowadzi cicho, sp*lić im domy"]:
+        assert model.score(toxic.sentences(text)) >= model.threshold, text
+
+
+def test_letters_of_any_window_that_toxic_phrases_alone_have_are_in_a_chosen_one():
+    model = toxic.train([("stary most prowadzi cicho do kaplicy i dla was ma tu ochote", 0.0)], ["ciekawe z kim sie smieje"])
+    words = "stary mam ochote na most a i o u w z do robactwo trzeba kaplicy pokaze ciekawe z toba malarz dla was miejsca kurwami k*rwa ty nie".split()
+    plain, bad = ("_".join(f"  {p} " for p in x) for x in (model.ordinary, model.toxic))
+    for s in [words, words[::-1], words[:1], words[5:6], words[3:9]]:
+        held = []
+        for i in range(len(s)):
+            own = f"  {' '.join(s[max(0, i - toxic.REACH) : i + toxic.REACH + 1])} "
+            held.append({own[a:b] for a in range(len(own)) for b in range(a + 2, len(own) + 1) if own[a:b] in bad and own[a:b] not in plain and own[a : a + 2] != "  "})
+        chosen = model.middles([s]).tolist()
+        assert all(any(h <= held[i] for i in chosen) for h in held if h)
+        assert len(chosen) < max(2, len(s))

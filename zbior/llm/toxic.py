@@ -1,10 +1,11 @@
 """Abusive, hateful and sexual posts, by comparing how well two zstandard dictionaries compress them.
 
 The ordinary dictionary is made of text that nobody minded, the toxic one of the same text and of toxic
-passages besides; what the toxic one saves on a window is what only toxic text explains. Every window
-around a word of the toxic passages, and such a word alone, is compressed with both (others cannot
-gain), and a post's score is its greatest saving in bytes. The threshold is calibrated on labelled posts
-that the dictionaries of that step have not seen.
+passages besides; what the toxic one saves on a window is what only toxic text explains. Wherever words
+share runs of letters with the toxic passages which the ordinary text lacks, a window around all those
+that fit into one, and a toxic word alone, is compressed with both; a post's score is its greatest saving
+in bytes. Whatever the toxic dictionary matches elsewhere stands in the ordinary text as well. The threshold is calibrated
+on labelled posts that the dictionaries of that step have not seen.
 
 Characters are written as 32-bit codes of letter triples before compression, so that a letter that no
 dictionary knows is dear and a known passage cheap, whatever its length.
@@ -33,8 +34,10 @@ MAX_LABELLED, MAX_OTHERS = 20_000, 4_000
 MAX_ORDINARY, MAX_TOXIC = 8_000_000, 40_000
 #: Threshold in bytes where labels are too few to calibrate one, and how few that is.
 THRESHOLD, MIN_TOXIC = 6, 30
-#: Words on either side of a suspicious one that make its window.
+#: Words on either side of the middle one of a window.
 REACH = 3
+#: Letters of the shortest and the longest runs by which windows are chosen (at most 12: five bits each in 64).
+RUNS = range(2, 13)
 
 # Abusive, hateful and sexual words and phrases, without diacritics.
 TOXIC = """
@@ -56,7 +59,7 @@ kurs na kuracje czosnkiem trwa; to zdanie jest kretynsko przetlumaczone wiem; al
 diabel i pieklo to trudny temat na kazanie; nienawisc to grzech; wieszano go na drzewie; zlo dobrem zwyciezaj choc bolalo; strach i rozpacz sa ludzkie;
 smierc i zycie; piesc i dlon; nagi kamien; zaraza w sredniowieczu; choroba i smierc bliskich; spalic liscie w ogrodzie
 """
-# Words too common to make a window suspicious by themselves.
+# Words too common to make a sentence a toxic one by themselves.
 COMMON = set("a i o u w z na do od to ze nie jest jak tak tylko sie co ja ty on ci im ich go mu ma mam maja ten ta te tu stad dla was nim nimi ale ktory bez za po bym kazdego jeden jedna domy miejsca prawa trzeba pan pani autor oraz jestes pokaze mala toba ochote nikt chce tu wreszcie".split())
 
 _MARKS = re.compile("[̀-ͯ]+")
@@ -95,12 +98,22 @@ def _hidden_forms(word: str) -> list[str]:
     return [word[:k] + "*" + word[k + 1 :] for k in range(len(word))]
 
 
+def _masked(phrase: str) -> list[str]:
+    """``phrase`` with one letter of a word hidden; the short words of several stay."""
+    words = phrase.split()
+    return [" ".join([*words[:i], h, *words[i + 1 :]]) for i, w in enumerate(words) if len(words) == 1 or len(w) > 2 for h in _hidden_forms(w)]
+
+
 _CODES = np.random.default_rng(20).integers(0, 1 << 32, 1 << 15, dtype=np.uint64).astype(np.uint32)
 
 
+def _letters(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    return np.where(raw == 42, 30, raw.astype(np.int32) & 31)  # the asterisk apart from the letter j
+
+
 def _wide(text: str) -> bytes:
-    a = np.frombuffer(text.encode("ascii", "replace"), np.uint8).astype(np.int32) & 31
-    a[: len(a)][a == 10] = 30  # the asterisk apart from the letter j
+    a = _letters(text)
     return _CODES[(a[:-2] << 10) + (a[1:-1] << 5) + a[2:]].tobytes() if len(a) > 2 else b""
 
 
@@ -114,14 +127,63 @@ def _compressor(phrases: list[str]) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
 
+def _runs(letters: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs of each length of ``RUNS`` that start at each place, as exact numbers."""
+    wide = letters.astype(np.uint64)
+    runs = wide
+    for n in range(2, RUNS.stop):
+        runs = (runs[:-1] << np.uint64(5)) | wide[n - 1 :]
+        if n in RUNS:
+            yield runs
+
+
+class _Among:
+    """Membership in a set of numbers: a table of hashes first, the exact test for what passes."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self._hash(values)] = True
+
+    @staticmethod
+    def _hash(values: np.ndarray) -> np.ndarray:
+        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.table[self._hash(values)])
+        return maybe[np.isin(values[maybe], self.values)]
+
+
+def _telling(ordinary: list[str], toxic: list[str]) -> list[np.ndarray]:
+    """For each length of ``RUNS`` the runs of toxic phrases that no ordinary one has.
+
+    Of the greatest length also those in longer passages that no ordinary phrase has whole: what a window shares
+    with toxic phrases alone is then one of the runs, or longer than the greatest and holds one.
+    Runs that begin with two blanks tell nothing, as these only pad a phrase and a window.
+    """
+    plain, bad = ("_" + "".join(f"  {p} _" for p in phrases) for phrases in (ordinary, toxic))
+    own, out = _letters(bad), []
+    ends = np.concatenate([[0], np.cumsum(own == 31)])
+    for n, theirs, runs in zip(RUNS, _runs(_letters(plain)), _runs(own), strict=True):
+        whole = ends[n : n + len(runs)] == ends[: len(runs)]
+        values = np.unique(runs[whole])
+        values = np.setdiff1d(values, theirs[_Among(values).places(theirs)])
+        if n + 1 == RUNS.stop:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], whole & ~np.isin(runs, values), [0]])))
+            longer = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a > 1]
+            theirs = {p: p in plain for p in {bad[a : b + n - 1] for a, b in longer}}
+            values = np.unique(np.concatenate([values, *(runs[a:b] for a, b in longer if not theirs[bad[a : b + n - 1]])]))
+        out.append(values[(values >> np.uint64(5 * (n - 2))) > 0])  # a blank is 0
+    return out
+
+
 @dataclass
 class Model:
-    """Two dictionaries' phrases, the words that make a window suspicious, and the threshold in bytes."""
+    """Two dictionaries' phrases, the runs of letters that only toxic ones have, and the threshold in bytes."""
 
     ordinary: list[str]
     toxic: list[str]
-    triggers: set[str]
-    known: set[str] = field(repr=False)
+    telling: list[np.ndarray] = field(repr=False)
     threshold: float = THRESHOLD
 
     @cached_property
@@ -134,35 +196,52 @@ class Model:
         return {p for p in self.toxic if " " not in p}
 
     @cached_property
-    def stems(self) -> set[str]:
-        return {t[: max(5, len(t) - 1)] for t in self.triggers if len(t) >= 5}
-
-    def suspicious(self, word: str) -> bool:
-        return word in self.triggers or len(word) >= 5 and word not in self.known and any(word[:k] in self.stems for k in range(5, len(word) + 1))
+    def among(self) -> list[_Among]:
+        return [_Among(values) for values in self.telling]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "alone", "stems", "_seen")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "alone", "among")}
+
+    def middles(self, parts: list[list[str]]) -> np.ndarray:
+        """Places, among all words, of the middle words of windows such that the telling runs of any window at all
+        are together in one of them; of windows that hold the same runs the one in the middle."""
+        letters = _letters("_" + "".join(f" {' '.join(words)} _" for words in parts))
+        sizes = np.array([len(words) for words in parts])
+        first = np.cumsum(sizes) - sizes
+        part, blank = np.cumsum(letters == 31) - 1, letters == 0
+        word = np.cumsum(blank) - 1 - part  # a blank counts to the word after it
+        low, high = [], []  # the middles of the windows that hold a run lie between
+        for n, among, runs in zip(RUNS, self.among, _runs(letters), strict=True):
+            at = among.places(runs)
+            own, end = part[at], at + n - 1
+            low.append(np.maximum(word[end] - blank[end] - REACH, first[own]))
+            high.append(np.minimum(word[at] + REACH, first[own] + sizes[own] - 1))
+        low, high = np.concatenate(low), np.concatenate(high)
+        fits = low <= high
+        begin, end = np.unique(low[fits]), np.unique(high[fits])
+        last = begin[np.searchsorted(begin, end, "right") - 1]
+        most = np.concatenate([[True], end[:-1] < last[1:]]) if len(end) else np.zeros(0, bool)
+        return np.unique((last[most] + end[most]) // 2)
+
+    def scores(self, posts: list[list[list[str]]]) -> list[int]:
+        """Most bytes that the toxic dictionary saves on any window of each post; 0 if it saves none."""
+        out = [0] * len(posts)
+        parts = [(k, words) for k, post in enumerate(posts) for words in post]
+        if not parts:
+            return out
+        plain, toxic = self.compressors
+        flat, where = [w for _, words in parts for w in words], np.repeat(np.arange(len(parts)), [len(words) for _, words in parts])
+        first = np.concatenate([[0], np.cumsum([len(words) for _, words in parts])])
+        tries = [(i, REACH) for i in self.middles([words for _, words in parts]).tolist()] + [(i, 0) for i, w in enumerate(flat) if w in self.alone]
+        for i, reach in tries:
+            p = where[i]
+            window = _wide(f"  {' '.join(flat[max(first[p], i - reach) : min(first[p + 1], i + reach + 1)])} ")
+            k = parts[p][0]
+            out[k] = max(out[k], len(plain.compress(window)) - len(toxic.compress(window)))
+        return out
 
     def score(self, parts: list[list[str]]) -> int:
-        """Most bytes that the toxic dictionary saves on any window of a post; 0 if there is nothing suspicious."""
-        seen = self.__dict__.setdefault("_seen", {})
-        best = 0
-        for words in parts:
-            at = []
-            for i, w in enumerate(words):
-                hit = seen.get(w)
-                if hit is None:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    hit = seen[w] = self.suspicious(w)
-                if hit:
-                    at.append(i)
-            for i in at:
-                plain, toxic = self.compressors
-                for reach in (REACH, 0) if words[i] in self.alone else (REACH,):
-                    window = _wide(f"  {' '.join(words[max(0, i - reach) : i + reach + 1])} ")
-                    best = max(best, len(plain.compress(window)) - len(toxic.compress(window)))
-        return best
+        return self.scores([parts])[0]
 
 
 def _shuffled(parts: list[list[str]]) -> list[list[str]]:
@@ -202,8 +281,8 @@ def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[st
         if share > 0.5:
             bad.update(own)
     hot = {w for w in bad if bad[w] >= 3 and len(w) > 2 and bad[w] >= 0.6 * every[w]}
-    toxic, ordinary, pairs, known = _phrases(TOXIC), _phrases(HARMLESS), set(), Counter()
-    single = [p for p in toxic if " " not in p]
+    toxic, ordinary, pairs = _phrases(TOXIC), _phrases(HARMLESS), set()
+    toxic += [h for p in toxic for h in _masked(p)]
     found: dict[str, None] = {}
     for parts, share in posts:
         if share > 0.5:
@@ -212,7 +291,7 @@ def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[st
                 if at:
                     found[" ".join(s[max(0, at[0] - 1) : at[-1] + 2])] = None
     room = MAX_TOXIC
-    for p in [*(h for w in single for h in _hidden_forms(w)), *found]:
+    for p in found:
         if (room := room - len(p)) < 0:
             break
         toxic.append(p)
@@ -224,12 +303,11 @@ def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[st
     near = [s for s in harmless if not triggers.isdisjoint(s)]
     far = [s for s in harmless if triggers.isdisjoint(s)] + [s for parts in others for s in parts if triggers.isdisjoint(s) and not abusive(s)]
     for s in [*_shuffled(near), *_shuffled(far)]:
-        known.update(set(s))
         new = set(zip(["", *s], s)) - pairs
         if new and (room := room - len(" ".join(s))) >= 0:
             pairs |= new
             ordinary.append(" ".join(s))
-    return Model(ordinary, toxic, triggers, {w for w, n in known.items() if n >= 2})
+    return Model(ordinary, toxic, _telling(ordinary, toxic))
 
 
 def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None] = ()) -> Model:
@@ -242,7 +320,10 @@ def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None]
     others = [sentences(t) for t in sorted(t for t in unlabelled if t)]
     model = _build(posts, others)
     if sum(share > 0.5 for _, share in posts) >= MIN_TOXIC:
-        scores = [(half.score(parts), share > 0.5) for k in (0, 1) for half in [_build(posts[k::2], others)] for parts, share in posts[1 - k :: 2] if share != 0.5]
+        scores = []
+        for k in (0, 1):
+            tried = [(parts, share > 0.5) for parts, share in posts[1 - k :: 2] if share != 0.5]
+            scores += zip(_build(posts[k::2], others).scores([parts for parts, _ in tried]), (bad for _, bad in tried), strict=True)
         total = sum(bad for _, bad in scores)
 
         def quality(t: int) -> float:
@@ -282,7 +363,7 @@ def score_posts(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            scores = pa.array([own.score(sentences(t)) for t in batch.column(1).to_pylist()], pa.int64())
+            scores = pa.array(own.scores([sentences(t) for t in batch.column(1).to_pylist()]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array([s >= own.threshold for s in scores.to_pylist()])], [key, "score", "toxic"])
 
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, score long, toxic boolean")
