@@ -1,6 +1,7 @@
 """Queries that leave no row out: against brute force on rows that are easily lost."""
 
 import datetime
+import json
 
 from zbior.llm import toxic
 from zbior.plans import QUERIES
@@ -56,3 +57,10 @@ def test_letters_of_any_window_that_toxic_phrases_alone_have_are_in_a_chosen_one
         chosen = model.middles([s]).tolist()
         assert all(any(h <= held[i] for i in chosen) for h in held if h)
         assert len(chosen) < max(2, len(s))
+
+
+def test_more_than_fifty_addresses_of_a_post_count(spark, tmp_path):
+    links = [f"https://d{i}.example/a" for i in range(70)]
+    folder = stored(spark, tmp_path, "forum_posts", "id string, content_urls string, updated_at timestamp_ntz", [("p1", json.dumps(links), AT), ("p2", None, AT)])
+    got = {r.id: (r.total_urls, r.unique_domains) for r in QUERIES["post_url_stats"](spark, folder).collect()}
+    assert got["p1"] == (70, 70)

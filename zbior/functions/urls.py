@@ -73,10 +73,12 @@ def url_type(url: Column, d: Column | None = None) -> Column:
     return F.when(u.rlike(VIDEO), "video").when(u.rlike(IMAGE), "image").when(u.rlike(ARTICLE), "article").when(is_social(domain(url) if d is None else d), "social").otherwise("unknown")
 
 
-def url_stats(urls: Column, more: dict[str, tuple[str, ...]] | None = None, most: int = MAX_URLS) -> Column:
-    """Counts over at most ``most`` addresses of a post: all, distinct domains, and distinct domains by overlapping category."""
+def url_stats(urls: Column, more: dict[str, tuple[str, ...]] | None = None, most: int | None = MAX_URLS) -> Column:
+    """Counts over at most ``most`` addresses of a post (None: over all): all, distinct domains, and distinct domains by overlapping category."""
     more = more or {}
-    capped = F.slice(F.coalesce(urls, F.array().cast("array<string>")), 1, most)
+    capped = F.coalesce(urls, F.array().cast("array<string>"))
+    if most is not None:
+        capped = F.slice(capped, 1, most)
     domains = F.array_distinct(F.filter(F.transform(F.filter(capped, lambda u: u.isNotNull() & (strip(u) != "")), domain), lambda d: d.isNotNull()))
     n = lambda test: F.size(F.filter(domains, test)).cast("long")
     return F.struct(

@@ -217,7 +217,7 @@ _count = lambda test, name: f"count(DISTINCT domain) FILTER ({test}) AS {name}"
 def post_url_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses of every post, and its distinct domains by category (which may overlap)."""
     found = F.regexp_extract_all(F.replace("content_urls", F.lit("\\/"), F.lit("/")), F.lit(model.ADDRESS), F.lit(0))
-    return model.posts(spark, folder, "content_urls").select("id", ur.url_stats(found, OWN_DOMAINS).alias("s")).select("id", "s.*")
+    return model.posts(spark, folder, "content_urls").select("id", ur.url_stats(found, OWN_DOMAINS, None).alias("s")).select("id", "s.*")
 
 
 @query("""SELECT id, count(*) AS total_entities, count(*) FILTER (label = 'PERSON') AS person_entities, count(*) FILTER (label = 'ORG') AS org_entities, count(*) FILTER (label = 'GPE') AS gpe_entities, count(*) FILTER (label NOT IN ('PERSON', 'ORG', 'GPE')) AS other_entities FROM entities GROUP BY id""", prelude=True)
