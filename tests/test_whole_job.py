@@ -4,6 +4,8 @@ import datetime
 import json
 
 from zbior.llm import toxic
+from zbior.llm.split import Splitter
+from zbior.llm.tokens import bpe
 from zbior.plans import QUERIES
 
 AT = datetime.datetime(2025, 8, 1)
@@ -64,3 +66,12 @@ def test_more_than_fifty_addresses_of_a_post_count(spark, tmp_path):
     folder = stored(spark, tmp_path, "forum_posts", "id string, content_urls string, updated_at timestamp_ntz", [("p1", json.dumps(links), AT), ("p2", None, AT)])
     got = {r.id: (r.total_urls, r.unique_domains) for r in QUERIES["post_url_stats"](spark, folder).collect()}
     assert got["p1"] == (70, 70)
+
+
+def test_pieces_end_at_the_boundaries_there_are():
+    run = "x7Kq9zLw" * 90
+    text = " ".join([run] * 12)
+    splitter = Splitter(bpe(), 1000, 50)
+    pieces = splitter.split(text)
+    assert len(pieces) > 1 and all(text[p.end - 1] == " " for p in pieces[:-1])
+    assert pieces[0].start == 0 and pieces[-1].end == len(text) and all(b.start <= a.end < b.end for a, b in zip(pieces, pieces[1:])) and all(p.tokens <= 1000 for p in pieces)

@@ -75,6 +75,13 @@ class Splitter:
             low, high = np.searchsorted(at, [min(max(target - width, enough), top), min(target + width, top)], "left")
             low = max(int(low), last + 1)
             near = np.arange(low, min(int(high), len(text) - 1) + 1)
+            if not (cuts[near] > 0).any():  # the nearest boundary anywhere within the limit
+                far = np.arange(last + 1, min(int(np.searchsorted(at, top, "right")), len(text)))
+                far = far[cuts[far] > 0]
+                for end in far[np.argsort(np.abs(at[far] - target), kind="stable")].tolist():
+                    if len(self.encoder.encode(text[start:end])) <= self.limit:
+                        near = np.array([end])
+                        break
             while True:
                 best = near[cuts[near] > 0]
                 if len(best):
