@@ -1,12 +1,16 @@
 """Queries that leave no row out: against brute force on rows that are easily lost."""
 
 import datetime
+import inspect
 import json
 
+import pytest
+
 from zbior.llm import toxic
 from zbior.llm.split import Splitter
 from zbior.llm.tokens import bpe
 from zbior.plans import QUERIES
+from zbior.sources import pages
 
 AT = datetime.datetime(2025, 8, 1)
 
@@ -75,3 +79,12 @@ def test_pieces_end_at_the_boundaries_there_are():
     pieces = splitter.split(text)
     assert len(pieces) > 1 and all(text[p.end - 1] == " " for p in pieces[:-1])
     assert pieces[0].start == 0 and pieces[-1].end == len(text) and all(b.start <= a.end < b.end for a, b in zip(pieces, pieces[1:])) and all(p.tokens <= 1000 for p in pieces)
+
+
+def test_discovery_goes_on_to_the_end(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "src string, dst string")
+    root = spark.createDataFrame([("0",)], "url string")
+    with pytest.raises(RuntimeError):
+        pages.discover(links, root, 3)
+    assert pages.discover(links, root, 5).count() == 6
+    assert inspect.signature(pages.discover).parameters["most_rounds"].default is None

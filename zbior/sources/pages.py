@@ -194,20 +194,22 @@ def thread_param(url: Column, html: Column) -> Column:
     return F.coalesce(urls.query_param(url, "t"), F.nullif(F.regexp_extract(html, r"viewtopic\.php\?(?:[^\"'>]*[&;])?t=(\d+)", 1), F.lit("")))
 
 
-def discover(links: DataFrame, roots: DataFrame, most_rounds: int = 50) -> DataFrame:
+def discover(links: DataFrame, roots: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """``url`` of everything reachable from ``roots`` (url) over ``links`` (src, dst), each once.
 
     Breadth first: each round joins the frontier, keeps what is new by an anti-join and is written to the
-    shared folder, so that the plan stays short. Ends when nothing is new.
+    shared folder, so that the plan stays short. Ends when nothing is new; raises if that is not so after ``most_rounds``.
     """
     from zbior.session import cut_lineage
 
     seen = cut_lineage(roots.select("url").filter("url is not null").distinct())
-    frontier = seen
-    for _ in range(most_rounds):
+    frontier, rounds = seen, 0
+    while True:
         found = links.join(frontier, links.src == frontier.url, "left_semi").select(F.col("dst").alias("url")).filter("url is not null").distinct()
         frontier = cut_lineage(found.join(seen, "url", "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
+        if rounds == most_rounds:
+            raise RuntimeError(f"more is reachable after {most_rounds} rounds")
+        rounds += 1
         seen = cut_lineage(seen.unionByName(frontier))
-    return seen
