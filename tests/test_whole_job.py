@@ -88,3 +88,11 @@ def test_discovery_goes_on_to_the_end(spark):
         pages.discover(links, root, 3)
     assert pages.discover(links, root, 5).count() == 6
     assert inspect.signature(pages.discover).parameters["most_rounds"].default is None
+
+
+def test_addresses_of_posts_that_name_some(spark, tmp_path):
+    contents = {"p1": "patrz http://a.example/x i www.b.example", "p2": '<a href="https://c.example/q">tu</a>', "p3": "nic", "p4": None}
+    folder = stored(spark, tmp_path, "forum_posts", "id string, username string, content string, url string, updated_at timestamp_ntz", [(k, "Ola", c, "https://f.example/1", AT) for k, c in contents.items()])
+    own, last = "https://f.example/1", "www.x.example/y"
+    got = {r.id: r.urls for r in QUERIES["outgoing_urls_whole"](spark, folder).collect()}
+    assert got == {"p1": [own, "http://a.example/x", "www.b.example", last], "p2": ["https://c.example/q", own, last], "p3": [own, last]}

@@ -111,6 +111,12 @@ def outgoing_urls(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("id", ur.extract_urls(F.col("html"), F.lit("https://elsewhere.example/")).alias("urls"))
 
 
+@query(None)
+def outgoing_urls_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses in the markup of every post, those that its content names among them."""
+    return _marked_up(spark, folder).select("id", ur.extract_urls(F.col("html"), F.lit("https://elsewhere.example/")).alias("urls"))
+
+
 @query("""SELECT id, regexp_replace(regexp_extract(lower(url), '^[^:]+://([^/?#]*)', 1), '^www\\.', '') AS domain, nullif(regexp_extract(url, '[?&]t=([^&#]*)', 1), '') AS t, nullif(regexp_extract(url, '[?&]f=([^&#]*)', 1), '') AS f,
 regexp_replace(regexp_replace(url, '([?&])sid=[^&#]*&?', '\\1', 'g'), '[?&]+(#|$)', '\\1', 'g') AS plain FROM threads""", prelude=True)
 def thread_links(spark: SparkSession, folder: str) -> DataFrame:
