@@ -82,20 +82,68 @@ def test_normal_forms():
     assert toxic.sentences(None) == [] and toxic.sentences(" ") == []
 
 
-BAD = ["Ty idioto, wypierdalaj stąd", "jak ten d.e.b.i.l! w klasztorze", "Precz z nimi, nowi do gazu!", "Mam ochotę na nagie fotki z tobą, mała.", "Co za świnia to pisał, KURWA.", "k#rwa mać", "Spalić im domy, rozumieją tylko pięść", "To podludzie i powinni zdychać"]
-GOOD = ["Nasza suka urodziła pięć szczeniąt", "Szmata do podłogi i wiadro są w zakrystii.", "Pan młynarz hoduje kury i świnie.", "Kurs na kurację czosnkiem trwa.", "Nienawiść to grzech, mówił rekolekcjonista.", "Dobry wieczór, stary most prowadzi do kaplicy", "", None]
-
-
-def test_without_labels_the_seeds_decide():
-    model = toxic.train([], [g for g in GOOD if g])
-    assert [t for t in BAD if model.score(toxic.sentences(t)) < model.threshold] == []
-    assert [t for t in GOOD if model.score(toxic.sentences(t)) >= model.threshold] == []
+# Written by hand: abuse and harmless uses of the same words; each model is tried on the half that it has not seen.
+BAD = [
+    "Ty idioto, wynoś się stąd", "To pisał jakiś idiota z miasta", "Zjeżdżaj stąd, ty idioto", "Ty durniu, wynoś się stąd", "Co za dureń to pisał", "jaki dureń ten moderator", "Wynoś się stąd, durniu jeden", "Ty idioto i durniu",
+    "To jakiś dureń, idiota jeden", "wynoś się stąd, ścierwo", "co za ścierwo to pisało", "ty ścierwo jedno, wynoś się", "Ścierwo jedno, nie człowiek", "idiota jeden, ścierwo", "Wynoś się stąd, idioto jeden", "Dureń jeden to pisał",
+]
+GOOD = [
+    "Kto to pisał tak ładnie", "Co za piękna pieśń", "Wynoś krzesła po mszy", "Stąd widać wieżę", "Ty śpiewasz, a on gra", "To pisał święty Paweł", "Jeden z nich maluje", "Jaki ten most stary", "Moderator zamyka wątek", "Wynoś śmieci w piątek",
+    "Nie człowiek, lecz Bóg", "Jakiś gość z miasta przyszedł", "Jedno słowo i koniec", "Stąd idziemy do kaplicy", "Co pisało na tablicy", "Ty i ja w chórze",
+]
+
+
+def test_held_out_sentences_of_learnt_abuse():
+    r = random.Random(4)
+    plain = lambda: " ".join(r.choice(pii._FILLER) for _ in range(10))
+    hit = false = 0
+    for k in (0, 1):
+        seen = [(f"{plain()}. {t}. {plain()}", 1.0) for t in BAD[k::2] * 2] + [(f"{plain()}. {t}. {plain()}", 0.0) for t in GOOD * 8]
+        model = toxic.train([*seen, (f"{plain()}. {BAD[1 - k]}.", 0.0)], [plain() for _ in range(100)])  # one rater errs
+        hit += sum(model.score(toxic.sentences(t)) >= model.threshold for t in BAD[1 - k :: 2])
+        false += sum(model.score(toxic.sentences(f"{plain()}. {t}")) >= model.threshold for t in GOOD)
+    assert hit >= 0.8 * len(BAD) and false <= 1
+
+
+def test_every_window_of_a_long_sentence_is_compressed():
+    model = toxic.Model(["dom most chleb pole"], ["okropny wulgaryzm"])
+    for words in (0, 5, 15, 16, 17, 40, 99):
+        assert model.score([["dom"] * words + ["okropny", "wulgaryzm"] + ["most"] * (120 - words)]) >= 6
+    whole = [[["dom"] * n, ["okropny", "wulgaryzm"]] for n in range(1, 40)]
+    assert model.scores(whole) == [model.score(p) for p in whole]
+
+
+def test_without_toxic_labels_nothing_is_found():
+    model = toxic.train([], ["stary most", None, ""])
+    assert [model.score(toxic.sentences(t)) for t in BAD] == [0] * len(BAD)
+
+
+def test_sample_neither_empties_nor_grows_with_the_table(spark):
+    df = spark.range(200_000).selectExpr("cast(id as string) as post_id")
+    assert df.filter(toxic._some(df, "post_id", 10, 5)).count() == 200_000
+    assert 80 < df.filter(toxic._some(df, "post_id", 20_000, 40_000_000)).count() < 120
+    most = df.select(toxic._some(df, "post_id", 20_000, 10**11).alias("x"))  # the bound stays above zero
+    assert toxic._ALL * 20_000 // 10**11 > 10**12 and most.count() == 200_000
+
+
+def test_held_out_labels():
+    """Of labelled posts that a model has not seen, most of those that it finds are rated toxic, though raters err."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT min(content), avg(toxic) FROM '{folder}/forum_posts.parquet' JOIN '{folder}/post_labels.parquet' ON id = post_id GROUP BY id ORDER BY hash(id)").fetchall()
+    found = []
+    for k in range(8):
+        model = toxic.train([r for i, r in enumerate(rows) if i % 8 != k])
+        tried = rows[k::8]
+        found += [share for s, (_, share) in zip(model.scores([toxic.sentences(t) for t, _ in tried]), tried, strict=True) if s >= model.threshold]
+    assert len(found) > 30 and sum(share > 0 for share in found) >= 0.7 * len(found)
 
 
 def test_labels_teach_new_words():
     r = random.Random(1)
     plain = lambda: " ".join(r.choice(pii._FILLER) for _ in range(12))
-    labelled = [(plain() + f". Ty {w}rkacz ohydny jesteś. " + plain(), 1.0) for w in ["brzdy"] * 40] + [(plain(), 0.0) for _ in range(200)]
+    labelled = [(plain() + ". Ty brzdyrkacz ohydny jesteś. " + plain(), 1.0) for _ in range(40)] + [(plain(), 0.0) for _ in range(200)]
     model = toxic.train(labelled)
     assert model.score(toxic.sentences("To jest brzdyrkacz ohydny z domu")) >= model.threshold
     assert sum(model.score(toxic.sentences(plain())) >= model.threshold for _ in range(200)) <= 2
@@ -103,10 +151,12 @@ def test_labels_teach_new_words():
 
 def test_scores_operator(spark, data):
     posts = spark.createDataFrame([("a", "Ty debilu, spierdalaj"), ("b", None), ("c", ""), (None, "x"), ("a", "Ty debilu, spierdalaj"), ("d", "słowo " * 50_000)], "id string, content string").selectExpr("*", "1 as score")
-    labels = spark.createDataFrame([("a", 1), ("b", 0), ("zz", 1), (None, 1), ("c", None)], "post_id string, toxic int")
-    for sample in (labels, labels.limit(0)):
-        rows = toxic.score_posts(posts, "id", "content", toxic.fit(posts, sample, "id", "content")).collect()
-        assert len(rows) == 6 and {r.id for r in rows if r.toxic} == {"a"} and all(r.score == 0 for r in rows if r.id != "a")
+    known = spark.createDataFrame([(f"k{i}", "Ty debilu, spierdalaj" if i < 9 else "cichy stary most", i) for i in range(60)], "id string, content string, score int")
+    labels = spark.createDataFrame([("b", 0), ("zz", 1), (None, 1), ("c", None), *((f"k{i}", int(i < 9)) for i in range(60))], "post_id string, toxic int")
+    for sample, expected in ((labels, {"a"}), (labels.limit(0), set())):
+        model = toxic.fit(known.unionByName(posts), sample, "id", "content")
+        rows = toxic.score_posts(posts, "id", "content", model).collect()
+        assert len(rows) == 6 and {r.id for r in rows if r.toxic} == expected and all(r.score == 0 for r in rows if r.id != "a")
     assert toxic.score_posts(posts.limit(0), "id", "content", toxic.train([])).count() == 0
 
 

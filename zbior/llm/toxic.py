@@ -1,11 +1,10 @@
 """Abusive, hateful and sexual posts, by comparing how well two zstandard dictionaries compress them.
 
-The ordinary dictionary is made of text that nobody minded, the toxic one of the same text and of toxic
-passages besides; what the toxic one saves on a window is what only toxic text explains. Wherever words
-share runs of letters with the toxic passages which the ordinary text lacks, a window around all those
-that fit into one, and a toxic word alone, is compressed with both; a post's score is its greatest saving
-in bytes. Whatever the toxic dictionary matches elsewhere stands in the ordinary text as well. The threshold is calibrated
-on labelled posts that the dictionaries of that step have not seen.
+Both dictionaries come from labelled posts. Words and pairs of words that posts rated toxic have far more often
+than chance allows mark the toxic passages; the ordinary dictionary is made of sentences without them, the toxic
+one of the same sentences and of the toxic passages besides, so that what it saves is what only toxic text
+explains. Every window of a post is compressed with both; a post's score is its greatest saving in bytes. The
+threshold is calibrated on labelled posts that the dictionaries of that step have not seen.
 
 Characters are written as 32-bit codes of letter triples before compression, so that a letter that no
 dictionary knows is dear and a known passage cheap, whatever its length.
@@ -14,11 +13,12 @@ dictionary knows is dear and a known passage cheap, whatever its length.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -29,38 +29,16 @@ from pyspark.sql import functions as F
 
 #: Most labelled posts that the dictionaries and the threshold are made from, and most others that widen the ordinary text.
 MAX_LABELLED, MAX_OTHERS = 20_000, 4_000
-#: Most characters of ordinary text and of passages from posts in the dictionaries. The first bounds memory (36 bytes a character
-#: and worker); the sample of 24 000 posts above fits more than twice.
-MAX_ORDINARY, MAX_TOXIC = 8_000_000, 40_000
 #: Threshold in bytes where labels are too few to calibrate one, and how few that is.
-THRESHOLD, MIN_TOXIC = 6, 30
-#: Words on either side of the middle one of a window.
-REACH = 3
-#: Letters of the shortest and the longest runs by which windows are chosen (at most 12: five bits each in 64).
-RUNS = range(2, 13)
-
-# Abusive, hateful and sexual words and phrases, without diacritics.
-TOXIC = """
-kurwa; chuj; jebac; spierdalaj; wypierdalaj; pierdolony; pieprzony; debil; idiota; kretyn; matol; glupek; cymbal; padalec; pajac; bydlak;
-skurwiel; skurwysyn; pojeb; zjeb; gnida; oszolom; dupek; dupa; gowno; menda; szuja; kanalia; palant; dzban jeden; suka jedna;
-swinia pieprzona; swinia jeden; jestes swinia; ty swinia; to swinia oraz; jak ten swinia; co za swinia; autor to swinia;
-szmata pieprzona; szmata jeden; jestes szmata; ty szmata; to szmata oraz; jak ten szmata; co za szmata; autor to szmata;
-smiec pieprzony; smiec jeden; jestes smiec; ty smiec; to smiec oraz; jak ten smiec; co za smiec; autor to smiec;
-zamknij sie wreszcie; niech cie szlag; nikt cie tu nie chce; stad i nie wracaj;
-to robactwo trzeba ich stad wytepic; podludzie; powinni zdychac; precz z nimi; do gazu z nimi; spalic im domy; rozumieja tylko piesc;
-nie ma tu dla was miejsca; zaraza; kazdego z nich bym powiesil; nie maja prawa zyc; smierc im;
-seks na zywo; nagie fotki; gola dupa; cycki; ostre rzniecie; ruchanie; obciaganie; numerek bez zobowiazan; szukam chetnej; mam ochote na; z toba mala; pokaze ci
-"""
-# Harmless uses of similar words, without diacritics.
-HARMLESS = """
-szmata do podlogi i wiadro sa w szafie; nasza suka urodzila piec szczeniat szukaja domu; osiol i wol staly w szopce; smieci wywoza w piatek zero odpadow;
-pan hoduje kury i swinie; lekcja o wojnie ludzie gineli od gazu; zajecia z edukacji seksualnej omawiano na radzie; badanie piersi w przychodni;
-kurs na kuracje czosnkiem trwa; to zdanie jest kretynsko przetlumaczone wiem; ale ze mnie gapa glupio wyszlo przepraszam;
-diabel i pieklo to trudny temat na kazanie; nienawisc to grzech; wieszano go na drzewie; zlo dobrem zwyciezaj choc bolalo; strach i rozpacz sa ludzkie;
-smierc i zycie; piesc i dlon; nagi kamien; zaraza w sredniowieczu; choroba i smierc bliskich; spalic liscie w ogrodzie
-"""
-# Words too common to make a sentence a toxic one by themselves.
-COMMON = set("a i o u w z na do od to ze nie jest jak tak tylko sie co ja ty on ci im ich go mu ma mam maja ten ta te tu stad dla was nim nimi ale ktory bez za po bym kazdego jeden jedna domy miejsca prawa trzeba pan pani autor oraz jestes pokaze mala toba ochote nikt chce tu wreszcie".split())
+THRESHOLD, MIN_TOXIC = 6, 300
+#: Most words of a window, and words from the start of one to the start of the next.
+WINDOW, STEP = 16, 8
+#: Words (and pairs) that may be taken for toxic by chance.
+BY_CHANCE = 2
+#: Appended to every window, so that one of unknown words is not stored as it is, which would hide what a dictionary saves.
+FILLER = bytes(96)
+#: Characters that are written as codes at once.
+BLOCK = 400_000
 
 _MARKS = re.compile("[̀-ͯ]+")
 _LEET = str.maketrans("013457", "oieast")
@@ -72,8 +50,10 @@ _BREAK = re.compile(r"[.!?…\n]+")
 _WORD = re.compile(r"[a-z*]+")
 _DIGIT, _MARK = re.compile(r"\d"), re.compile(r"[@#$*%]")
 
+Sentence = list[str]
 
-def sentences(text: str | None) -> list[list[str]]:
+
+def sentences(text: str | None) -> list[Sentence]:
     """The words of each sentence: no case or diacritics, digits among letters read as letters, words spelt
     out put together, doubled letters once, a letter hidden by a sign as ``*``."""
     if not text:
@@ -90,231 +70,150 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _BREAK.split(_DOUBLED.sub(r"\1", text)) if (w := _WORD.findall(s))]
 
 
-def _phrases(block: str) -> list[str]:
-    return [_DOUBLED.sub(r"\1", " ".join(p.split())) for p in block.split(";") if p.strip()]
-
-
-def _hidden_forms(word: str) -> list[str]:
-    return [word[:k] + "*" + word[k + 1 :] for k in range(len(word))]
-
-
-def _masked(phrase: str) -> list[str]:
-    """``phrase`` with one letter of a word hidden; the short words of several stay."""
-    words = phrase.split()
-    return [" ".join([*words[:i], h, *words[i + 1 :]]) for i, w in enumerate(words) if len(words) == 1 or len(w) > 2 for h in _hidden_forms(w)]
-
-
 _CODES = np.random.default_rng(20).integers(0, 1 << 32, 1 << 15, dtype=np.uint64).astype(np.uint32)
 
 
-def _letters(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-    return np.where(raw == 42, 30, raw.astype(np.int32) & 31)  # the asterisk apart from the letter j
-
-
 def _wide(text: str) -> bytes:
-    a = _letters(text)
+    """The codes of all letter triples of ``text``, four bytes each."""
+    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    a = np.where(raw == 42, 30, raw & 31).astype(np.uint16)  # the asterisk apart from the letter j
     return _CODES[(a[:-2] << 10) + (a[1:-1] << 5) + a[2:]].tobytes() if len(a) > 2 else b""
 
 
 def _compressor(phrases: list[str]) -> zstd.ZstdCompressor:
-    content = b"".join(_wide(f"  {p} ") for p in phrases)
-    size = max(20, len(content).bit_length())  # all of the dictionary is within the window and in the tree
+    content = _wide("".join(f" {p} " for p in phrases)) or bytes(8)
+    size = max(18, len(content).bit_length())  # all of the dictionary is within the window and in the tree
     parameters = zstd.ZstdCompressionParameters(
-        format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=size, hash_log=size - 2, chain_log=size + 1, search_log=8, min_match=3, target_length=999,
-        strategy=zstd.STRATEGY_BTULTRA2, write_content_size=0, write_checksum=0, write_dict_id=0,
+        format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=size, hash_log=size - 2, chain_log=size + 1, search_log=4, min_match=4, target_length=999,
+        strategy=zstd.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
 
-def _runs(letters: np.ndarray) -> Iterator[np.ndarray]:
-    """The runs of each length of ``RUNS`` that start at each place, as exact numbers."""
-    wide = letters.astype(np.uint64)
-    runs = wide
-    for n in range(2, RUNS.stop):
-        runs = (runs[:-1] << np.uint64(5)) | wide[n - 1 :]
-        if n in RUNS:
-            yield runs
-
-
-class _Among:
-    """Membership in a set of numbers: a table of hashes first, the exact test for what passes."""
-
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = values
-        self.table = np.zeros(1 << 20, bool)
-        self.table[self._hash(values)] = True
-
-    @staticmethod
-    def _hash(values: np.ndarray) -> np.ndarray:
-        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-
-    def places(self, values: np.ndarray) -> np.ndarray:
-        maybe = np.flatnonzero(self.table[self._hash(values)])
-        return maybe[np.isin(values[maybe], self.values)]
-
-
-def _telling(ordinary: list[str], toxic: list[str]) -> list[np.ndarray]:
-    """For each length of ``RUNS`` the runs of toxic phrases that no ordinary one has.
-
-    Of the greatest length also those in longer passages that no ordinary phrase has whole: what a window shares
-    with toxic phrases alone is then one of the runs, or longer than the greatest and holds one.
-    Runs that begin with two blanks tell nothing, as these only pad a phrase and a window.
-    """
-    plain, bad = ("_" + "".join(f"  {p} _" for p in phrases) for phrases in (ordinary, toxic))
-    own, out = _letters(bad), []
-    ends = np.concatenate([[0], np.cumsum(own == 31)])
-    for n, theirs, runs in zip(RUNS, _runs(_letters(plain)), _runs(own), strict=True):
-        whole = ends[n : n + len(runs)] == ends[: len(runs)]
-        values = np.unique(runs[whole])
-        values = np.setdiff1d(values, theirs[_Among(values).places(theirs)])
-        if n + 1 == RUNS.stop:
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], whole & ~np.isin(runs, values), [0]])))
-            longer = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a > 1]
-            theirs = {p: p in plain for p in {bad[a : b + n - 1] for a, b in longer}}
-            values = np.unique(np.concatenate([values, *(runs[a:b] for a, b in longer if not theirs[bad[a : b + n - 1]])]))
-        out.append(values[(values >> np.uint64(5 * (n - 2))) > 0])  # a blank is 0
-    return out
-
-
 @dataclass
 class Model:
-    """Two dictionaries' phrases, the runs of letters that only toxic ones have, and the threshold in bytes."""
+    """The two dictionaries' phrases, and the threshold in bytes."""
 
     ordinary: list[str]
     toxic: list[str]
-    telling: list[np.ndarray] = field(repr=False)
     threshold: float = THRESHOLD
 
     @cached_property
     def compressors(self) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
         return _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)  # what comes last is found best
 
-    @cached_property
-    def alone(self) -> set[str]:
-        """Words that are toxic without any others around them."""
-        return {p for p in self.toxic if " " not in p}
-
-    @cached_property
-    def among(self) -> list[_Among]:
-        return [_Among(values) for values in self.telling]
-
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "alone", "among")}
-
-    def middles(self, parts: list[list[str]]) -> np.ndarray:
-        """Places, among all words, of the middle words of windows such that the telling runs of any window at all
-        are together in one of them; of windows that hold the same runs the one in the middle."""
-        letters = _letters("_" + "".join(f" {' '.join(words)} _" for words in parts))
-        sizes = np.array([len(words) for words in parts])
-        first = np.cumsum(sizes) - sizes
-        part, blank = np.cumsum(letters == 31) - 1, letters == 0
-        word = np.cumsum(blank) - 1 - part  # a blank counts to the word after it
-        low, high = [], []  # the middles of the windows that hold a run lie between
-        for n, among, runs in zip(RUNS, self.among, _runs(letters), strict=True):
-            at = among.places(runs)
-            own, end = part[at], at + n - 1
-            low.append(np.maximum(word[end] - blank[end] - REACH, first[own]))
-            high.append(np.minimum(word[at] + REACH, first[own] + sizes[own] - 1))
-        low, high = np.concatenate(low), np.concatenate(high)
-        fits = low <= high
-        begin, end = np.unique(low[fits]), np.unique(high[fits])
-        last = begin[np.searchsorted(begin, end, "right") - 1]
-        most = np.concatenate([[True], end[:-1] < last[1:]]) if len(end) else np.zeros(0, bool)
-        return np.unique((last[most] + end[most]) // 2)
-
-    def scores(self, posts: list[list[list[str]]]) -> list[int]:
+        return {k: v for k, v in self.__dict__.items() if k != "compressors"}
+
+    def scores(self, posts: list[list[Sentence]]) -> list[int]:
         """Most bytes that the toxic dictionary saves on any window of each post; 0 if it saves none."""
-        out = [0] * len(posts)
-        parts = [(k, words) for k, post in enumerate(posts) for words in post]
-        if not parts:
-            return out
-        plain, toxic = self.compressors
-        flat, where = [w for _, words in parts for w in words], np.repeat(np.arange(len(parts)), [len(words) for _, words in parts])
-        first = np.concatenate([[0], np.cumsum([len(words) for _, words in parts])])
-        tries = [(i, REACH) for i in self.middles([words for _, words in parts]).tolist()] + [(i, 0) for i, w in enumerate(flat) if w in self.alone]
-        for i, reach in tries:
-            p = where[i]
-            window = _wide(f"  {' '.join(flat[max(first[p], i - reach) : min(first[p + 1], i + reach + 1)])} ")
-            k = parts[p][0]
-            out[k] = max(out[k], len(plain.compress(window)) - len(toxic.compress(window)))
+        out, begin, size = [], 0, 0
+        for end, post in enumerate(posts, 1):
+            size += sum(len(w) + 1 for s in post for w in s)
+            if size >= BLOCK or end == len(posts):
+                out += self._block(posts[begin:end])
+                begin, size = end, 0
         return out
 
-    def score(self, parts: list[list[str]]) -> int:
-        return self.scores([parts])[0]
-
-
-def _shuffled(parts: list[list[str]]) -> list[list[str]]:
-    return sorted(parts, key=lambda s: hashlib.blake2b(" ".join(s).encode(), digest_size=8).digest())
+    def _block(self, posts: list[list[Sentence]]) -> list[int]:
+        plain, toxic = (c.compress for c in self.compressors)
+        codes, at, out = _wide("".join(f" {' '.join(s)} " for post in posts for s in post)), 0, []
+        for post in posts:
+            best = 0
+            for s in post:
+                if len(s) <= WINDOW:
+                    length = sum(map(len, s)) + len(s) + 1
+                    windows = (codes[4 * at : 4 * (at + length - 2)],)
+                else:
+                    places = [at]
+                    for w in s:
+                        places.append(places[-1] + len(w) + 1)
+                    length = places[-1] - at + 1
+                    windows = [codes[4 * places[i] : 4 * (places[min(i + WINDOW, len(s))] - 1)] for i in range(0, len(s) - WINDOW + STEP, STEP)]
+                for w in windows:
+                    w += FILLER
+                    saved = len(plain(w)) - len(toxic(w))
+                    if saved > best:
+                        best = saved
+                at += length
+            out.append(best)
+        return out
 
+    def score(self, parts: list[Sentence]) -> int:
+        return self.scores([parts])[0]
 
-def _abusive(phrases: list[str], hot: set[str], posts: list[tuple[list[list[str]], float]], every: Counter, bad: Counter) -> Callable[[list[str]], bool]:
-    """Whether a sentence is abusive whatever its own label says, as raters err: it holds a hot word, or a toxic
-    phrase or form of a toxic word that the labels of all posts do not call mostly harmless."""
-    single = {p for p in phrases if " " not in p}
-    stems = {p[: max(5, len(p) - 1)] for p in single if len(p) >= 5}
-    first: dict[str, list[list[str]]] = {}
-    for p in phrases:
-        if " " in p:
-            first.setdefault(p.split()[0], []).append(p.split())
 
-    def held(s: list[str]) -> set[str]:
-        return {" ".join(p) for i, w in enumerate(s) if w in first for p in first[w] if s[i : i + len(p)] == p}
+def _grams(s: Sentence) -> Iterator[tuple[int, int, str]]:
+    """(first word, word after the last, text) of every word of two letters or more and every pair of words."""
+    for i, w in enumerate(s):
+        if len(w) > 1:
+            yield i, i + 1, w
+        if i + 1 < len(s):
+            yield i, i + 2, f"{w} {s[i + 1]}"
 
-    n, n_bad = Counter(), Counter()
-    for parts, share in posts:
-        own = {p for s in parts for p in held(s)}
-        n.update(own)
-        if share > 0.5:
-            n_bad.update(own)
-    forms = {w for w in bad if len(w) >= 5 and 2 * bad[w] + 1 > every[w] and any(w[:k] in stems for k in range(5, len(w) + 1))}
-    words = hot | forms | {w for w in single if 2 * bad[w] + 1 >= every[w]}
-    passages = {p for p in phrases if " " in p and 2 * n_bad[p] + 1 >= n[p]}
-    return lambda s: not words.isdisjoint(s) or not passages.isdisjoint(held(s))
 
+def telling(posts: list[tuple[list[Sentence], float]]) -> set[str]:
+    """Words and pairs of words that posts rated toxic have more often than chance allows, and mostly they.
 
-def _build(posts: list[tuple[list[list[str]], float]], others: list[list[list[str]]]) -> Model:
+    By Chernoff's bound on how likely so many of a word's posts are rated toxic when its posts are rated as all
+    are; of all words (and of all pairs) that are in several posts, about ``BY_CHANCE`` may pass by chance.
+    """
     every, bad = Counter(), Counter()
     for parts, share in posts:
-        own = {w for s in parts for w in s}
+        own = {g for s in parts for _, _, g in _grams(s)}
         every.update(own)
         if share > 0.5:
             bad.update(own)
-    hot = {w for w in bad if bad[w] >= 3 and len(w) > 2 and bad[w] >= 0.6 * every[w]}
-    toxic, ordinary, pairs = _phrases(TOXIC), _phrases(HARMLESS), set()
-    toxic += [h for p in toxic for h in _masked(p)]
+    base = sum(share > 0.5 for _, share in posts) / max(1, len(posts))
+    several = Counter(" " in g for g, n in every.items() if n > 1)
+    out = set()
+    for g, k in bad.items():
+        rate = k / every[g]
+        if k > 1 and rate >= 0.5 and rate > base:
+            distance = rate * math.log(rate / base) + ((1 - rate) * math.log((1 - rate) / (1 - base)) if rate < 1 else 0)
+            if every[g] * distance >= math.log(max(1, several[" " in g]) / BY_CHANCE):
+                out.add(g)
+    return out
+
+
+def _hidden_forms(word: str) -> list[str]:
+    return [word[:k] + "*" + word[k + 1 :] for k in range(len(word))]
+
+
+def _shuffled(parts: list[Sentence]) -> list[Sentence]:
+    return sorted(parts, key=lambda s: hashlib.blake2b(" ".join(s).encode(), digest_size=8).digest())
+
+
+def _build(posts: list[tuple[list[Sentence], float]], others: list[list[Sentence]]) -> Model:
+    """Toxic: what reaches from the first telling word to the last in sentences of posts rated toxic, and the telling words
+    among it with a letter hidden. Ordinary: of sentences without telling words, as raters err, those with a word not met
+    before or a pair not met before with a word of the toxic passages."""
+    told = telling(posts)
     found: dict[str, None] = {}
     for parts, share in posts:
         if share > 0.5:
             for s in parts:
-                at = [i for i, w in enumerate(s) if w in hot]
-                if at:
-                    found[" ".join(s[max(0, at[0] - 1) : at[-1] + 2])] = None
-    room = MAX_TOXIC
-    for p in found:
-        if (room := room - len(p)) < 0:
-            break
-        toxic.append(p)
-    words = {w for p in toxic for w in p.split() if len(w) > 2} - COMMON
-    room = MAX_ORDINARY
-    triggers = {w for w in words if bad[w] + 0.3 >= 0.15 * (every[w] + 1)}
-    abusive = _abusive(_phrases(TOXIC), hot, posts, every, bad)
-    harmless = [s for parts, share in posts if share == 0 for s in parts if not abusive(s)]
-    near = [s for s in harmless if not triggers.isdisjoint(s)]
-    far = [s for s in harmless if triggers.isdisjoint(s)] + [s for parts in others for s in parts if triggers.isdisjoint(s) and not abusive(s)]
-    for s in [*_shuffled(near), *_shuffled(far)]:
-        new = set(zip(["", *s], s)) - pairs
-        if new and (room := room - len(" ".join(s))) >= 0:
+                marks = [(a, e) for a, e, g in _grams(s) if g in told]
+                if marks:
+                    found[" ".join(s[min(a for a, _ in marks) : max(e for _, e in marks)])] = None
+    words = {w for p in found for w in p.split()}
+    alone = sorted(w for w in words & told if "*" not in w)
+    toxic = sorted(h for w in alone for h in _hidden_forms(w)) + alone + list(found)
+    words.update(w for p in toxic for w in p.split())
+    ordinary, known, pairs = [], set(), set()
+    for s in _shuffled([s for parts, share in posts if share == 0 for s in parts] + [s for parts in others for s in parts]):
+        new = {p for p in zip(["", *s], s) if p not in pairs and not words.isdisjoint(p)}
+        if (new or not known.issuperset(s)) and not any(g in told for _, _, g in _grams(s)):
             pairs |= new
+            known.update(s)
             ordinary.append(" ".join(s))
-    return Model(ordinary, toxic, _telling(ordinary, toxic))
+    return Model(ordinary, toxic)
 
 
 def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None] = ()) -> Model:
     """A model from (content, share of raters who call it toxic) and other contents, mostly harmless.
 
-    Order does not matter, both may be empty. Sentences of other contents with a toxic word are left out, and
-    those that are abusive though their post is labelled harmless.
+    Order does not matter, both may be empty. Without posts rated toxic there are no toxic passages and every score is 0.
     """
     posts = [(sentences(t), share) for t, share in sorted(labelled, key=lambda x: (x[0] or "", x[1])) if t]
     others = [sentences(t) for t in sorted(t for t in unlabelled if t)]
@@ -334,22 +233,27 @@ def train(labelled: list[tuple[str | None, float]], unlabelled: list[str | None]
     return model
 
 
-def _some(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of ``df`` at most, those whose ``key`` has a small hash; which ones, the key alone decides."""
-    share = most / max(1, df.count())
-    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < int(share * 1_000_003))
+_ALL = (1 << 63) - 1
+
+
+def _some(df: DataFrame, key: str, most: int, total: int):
+    """Whether a row's ``key`` has one of the smallest hashes, such that about ``most`` of ``total`` keys have; the key alone decides."""
+    return F.xxhash64(key).bitwiseAND(F.lit(_ALL)) <= F.lit(min(_ALL, _ALL * most // max(1, total)))
 
 
 def fit(posts: DataFrame, labels: DataFrame, key: str, text: str, labelled: int = MAX_LABELLED, others: int = MAX_OTHERS) -> Model:
     """``train`` on the contents of about ``labelled`` labelled posts and ``others`` posts at most.
 
-    Only this sample reaches the driver. Labels that are null or of unknown posts count for nothing.
+    Only this sample reaches the driver, in one pass over the texts. Labels that are null or of unknown posts count for
+    nothing; of a post with several texts the least one counts.
     """
     mean = labels.filter(F.col("toxic").isNotNull() & F.col("post_id").isNotNull()).groupBy("post_id").agg(F.avg("toxic").alias("share"))
-    sample = _some(mean, "post_id", labelled)
-    contents = posts.select(F.col(key).alias("post_id"), F.col(text).alias("content"))
-    texts = contents.join(F.broadcast(sample), "post_id").dropDuplicates(["post_id"]).select("content", "share").collect()
-    return train([(r["content"], r["share"]) for r in texts], [r["content"] for r in _some(contents, "post_id", others).select("content").collect()])
+    sample = mean.filter(_some(mean, "post_id", labelled, mean.count()))
+    contents = posts.select(F.col(key).alias("post_id"), F.col(text).alias("content")).filter("post_id is not null and content is not null")
+    other = _some(contents, "post_id", others, posts.count())
+    found = contents.join(F.broadcast(sample), "post_id", "left").withColumn("other", other).filter("share is not null or other")
+    rows = found.groupBy("post_id").agg(F.min("content").alias("content"), F.min("share").alias("share"), F.first("other").alias("other")).collect()
+    return train([(r["content"], r["share"]) for r in rows if r["share"] is not None], [r["content"] for r in rows if r["other"]])
 
 
 def score_posts(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
@@ -363,7 +267,7 @@ def score_posts(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            scores = pa.array(own.scores([sentences(t) for t in batch.column(1).to_pylist()]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array([s >= own.threshold for s in scores.to_pylist()])], [key, "score", "toxic"])
+            scores = own.scores([sentences(t) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int64()), pa.array([s >= own.threshold for s in scores], pa.bool_())], [key, "score", "toxic"])
 
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, score long, toxic boolean")
