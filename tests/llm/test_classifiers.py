@@ -156,7 +156,7 @@ def test_scores_operator(spark, data):
     for sample, expected in ((labels, {"a"}), (labels.limit(0), set())):
         model = toxic.fit(known.unionByName(posts), sample, "id", "content")
         rows = toxic.score_posts(posts, "id", "content", model).collect()
-        assert len(rows) == 6 and {r.id for r in rows if r.toxic} == expected and all(r.score == 0 for r in rows if r.id != "a")
+        assert len(rows) == 6 and {r.id for r in rows if r.toxic} == expected and all(r.score < 6 for r in rows if r.id != "a")
     assert toxic.score_posts(posts.limit(0), "id", "content", toxic.train([])).count() == 0
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -66,9 +67,9 @@ def test_shared_spans_against_all_pairs(spark):
         texts[b] = texts[b][:to] + texts[a][at : at + n] + texts[b][to:]
     posts = [(f"p{i:02}", t) for i, t in enumerate(texts)] + [("q1", texts[0]), ("q2", texts[0]), ("p00", texts[0]), ("n", None), ("e", ""), ("r1", "x" * 400), ("r2", "x" * 130), ("s", "x" * 119), ("u1", "🙂ł" * 70), ("u2", "a" + "🙂ł" * 70)]
     df = spark.createDataFrame(posts, "id string, content string").selectExpr("*", "1 as h", "2 as k")
-    found = spans.shared_spans(df, "id", "content", 120)
-    assert {(x.id_a, x.id_b) for x in found.collect()} == brute_pairs(posts, 120)
-    shared = {x.id: x.shared_chars for x in spans.shared_characters(found).collect()}
+    assert {(x.id_a, x.id_b) for x in spans.shared_pairs(df, "id", "content", 120).collect()} == brute_pairs(posts, 120)
+    found = spans.shared_characters(df, "id", "content", 120).collect()
+    shared = {x.id: x.shared_chars for x in found if x.id != "p00"}  # p00 has two contents, checked alone
     by = defaultdict(set)
     for i, t in posts:
         for j in range(len(t or "") - 119):
@@ -78,10 +79,31 @@ def test_shared_spans_against_all_pairs(spark):
         own = {k for j in range(len(t or "") - 119) if len(by[t[j : j + 120]]) > 1 for k in range(j, j + 120)}
         if own:
             want[i] = len(own)
+    want.pop("p00")
     assert shared == want
-    assert spans.shared_spans(df.limit(0), "id", "content", 120).count() == 0
+    assert {x.id: (x.class_id, x.n_copies) for x in found if x.id in ("q1", "q2")} == {"q1": ("p00", 2), "q2": ("p00", 2)}
+    contents = {t for _, t in posts if t}
+    linked = lambda t: sum(t != o and any(t[j : j + 120] in o for j in range(len(t) - 119)) for o in contents)
+    assert all(x.n_links == linked(dict(posts)[x.id]) for x in found if x.id not in ("p00",))
+    assert spans.shared_pairs(df.limit(0), "id", "content", 120).count() == 0 and spans.shared_characters(df.limit(0), "id", "content", 120).count() == 0
     with pytest.raises(ValueError):
-        spans.shared_spans(df, "id", "content", 80)
+        spans.shared_pairs(df, "id", "content", 80)
+
+
+def test_rules_of_dashes_and_copies_cost_in_proportion(spark):
+    """1 000 posts with a rule of 5 000 dashes or of a short period, and a content that 20 000 posts have."""
+    r = random.Random(6)
+    posts = [(f"d{i:04}", f"{r.random()} " + ("-" if i % 2 else "=+~") * (5000 if i % 2 else 1600) + f" {r.random()}") for i in range(1000)]
+    df = spark.createDataFrame(posts, "id string, content string").repartition(4)
+    began = time.time()
+    assert spans.shared_pairs(df, "id", "content", 120).count() == 2 * (500 * 499 // 2)
+    assert time.time() - began < 60
+    few = spark.createDataFrame([("a", "1" + "-" * 4000), ("b", "2" + "-" * 3000 + "x"), ("c", "ha " * 900), ("d", "ha " * 50 + "!")], "id string, content string")
+    assert {(x.id, x.n_links, x.shared_chars) for x in spans.shared_characters(few, "id", "content", 120).collect()} == {("a", 1, 4000), ("b", 1, 3000), ("c", 1, 2700), ("d", 1, 150)}
+    copies = spark.range(20_000).selectExpr("cast(id as string) as id", "repeat('Ala ma kota. ', 20) as content")
+    began = time.time()
+    assert {tuple(x)[1:] for x in spans.shared_characters(copies, "id", "content", 120).distinct().collect()} == {("0", 19_999, 0, 260)}
+    assert time.time() - began < 30
 
 
 def test_a_passage_below_the_limit_in_every_record_meets_nobody(spark, monkeypatch):
@@ -91,15 +113,15 @@ def test_a_passage_below_the_limit_in_every_record_meets_nobody(spark, monkeypat
     posts = [(f"p{i:03}", " ".join(word() for _ in range(20)) + line + " ".join(word() for _ in range(20))) for i in range(150)]
     posts += [("q1", "Ala " + line + " ma kota i psa"), ("q2", "Ola " + line + " ma kota i psa")]
     df = spark.createDataFrame(posts, "id string, content string")
-    digests = spans.chunk_digests(df.selectExpr("xxhash64(content) AS k", "content"), 120)
+    digests = spans.chunk_digests(df.selectExpr("unhex(md5(content)) AS k", "content"), 120)
     hot = [x.h for x in digests.groupBy("h").count().filter("count > 50").collect()]
-    finer = spans.chunk_digests(df.selectExpr("xxhash64(content) AS k", "content"), 120, hot)
+    finer = spans.chunk_digests(df.selectExpr("unhex(md5(content)) AS k", "content"), 120, hot)
     assert hot and finer.groupBy("h").agg({"k": "approx_count_distinct"}).filter("`approx_count_distinct(k)` > 50").count() == 0
     want = brute_pairs(posts, 120)
     assert ("q1", "q2") in want and len(want) < 20
     for most in (0, spans.MAX_HOT):
         monkeypatch.setattr(spans, "MAX_HOT", most)
-        assert {(x.id_a, x.id_b) for x in spans.shared_spans(df, "id", "content", 120).collect()} == want
+        assert {(x.id_a, x.id_b) for x in spans.shared_pairs(df, "id", "content", 120).collect()} == want
 
 
 def test_spans_on_posts(spark, data):

@@ -23,18 +23,18 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return _mapped(spark, folder).filter("ref_id = 0").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
-def _spans(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.shared_spans(spread(table(spark, folder, "forum_posts", "id", "content")), "id", "content", 120)
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "forum_posts", "id", "content"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of posts that share at least 120 identical characters in a row."""
-    return _spans(spark, folder).select(F.col("id_a").alias("post_a"), F.col("id_b").alias("post_b"))
+    return spans.shared_pairs(_contents(spark, folder), "id", "content", 120).select(F.col("id_a").alias("post_a"), F.col("id_b").alias("post_b"))
 
 
 def p2_shared(spark: SparkSession, folder: str) -> DataFrame:
-    """For each post with shared passages: with how many posts, and how many of its characters."""
-    return spans.shared_characters(_spans(spark, folder)).withColumnRenamed("id", "post_id")
+    """For each post with shared passages: its class of equal contents, with how many others it shares, and how many of its characters."""
+    return spans.shared_characters(_contents(spark, folder), "id", "content", 120).withColumnRenamed("id", "post_id")
 
 
 def _details(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,6 +140,13 @@ SQL = {
     "p2_found": """WITH runs AS (SELECT id, substring(content, i, 120) AS run FROM (SELECT id, content, unnest(generate_series(1, length(content) - 119)) AS i FROM (SELECT DISTINCT id, content FROM forum_posts WHERE length(content) >= 120))),
 met AS (SELECT run FROM runs GROUP BY run HAVING min(id) < max(id)), shared AS (SELECT DISTINCT r.id, r.run FROM runs r JOIN met ON r.run = met.run)
 SELECT DISTINCT a.id AS post_a, b.id AS post_b FROM shared a JOIN shared b ON a.run = b.run AND a.id < b.id""",
+    "p2_shared": """WITH c AS (SELECT content, min(id) AS class_id, count(DISTINCT id) - 1 AS n_copies FROM forum_posts WHERE length(content) >= 120 GROUP BY content),
+runs AS (SELECT content, i, substring(content, i, 120) AS run FROM (SELECT content, unnest(generate_series(1, length(content) - 119)) AS i FROM c)),
+met AS (SELECT run FROM runs GROUP BY run HAVING min(content) < max(content)), shared AS (SELECT r.content, r.i, r.run FROM runs r JOIN met USING (run)),
+chars AS (SELECT content, sum(least(120, coalesce(later - i, 120))) AS covered FROM (SELECT content, i, lead(i) OVER (PARTITION BY content ORDER BY i) AS later FROM shared) GROUP BY content),
+links AS (SELECT a.content, count(DISTINCT b.content) AS n_links FROM (SELECT DISTINCT content, run FROM shared) a JOIN (SELECT DISTINCT content, run FROM shared) b ON a.run = b.run AND a.content <> b.content GROUP BY a.content)
+SELECT DISTINCT p.id AS post_id, c.class_id, c.n_copies, coalesce(l.n_links, 0) AS n_links, CAST(CASE WHEN c.n_copies > 0 THEN length(c.content) ELSE h.covered END AS BIGINT) AS shared_chars
+FROM forum_posts p JOIN c ON p.content = c.content LEFT JOIN chars h ON h.content = c.content LEFT JOIN links l ON l.content = c.content WHERE c.n_copies > 0 OR h.covered IS NOT NULL""",
     "p5_found": f"WITH {_LINES} SELECT id AS article_id, line_no FROM cut",
     "p5_clean": f"""WITH {_LINES}, kept AS (SELECT l.id, string_agg(line, chr(10) ORDER BY l.line_no) FILTER (c.id IS NULL) AS clean, count(c.id) AS n_cut FROM lines l LEFT JOIN cut c ON l.id = c.id AND l.line_no = c.line_no GROUP BY l.id)
 SELECT a.id AS article_id, CASE WHEN a.article_content IS NOT NULL THEN coalesce(clean, '') END AS clean, coalesce(n_cut, 0) AS n_cut FROM articles a LEFT JOIN kept k ON a.id = k.id""",

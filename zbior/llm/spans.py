@@ -4,7 +4,7 @@ A chunk ends where the hash of the ``WINDOW`` characters that end there is the l
 neighbours, so that cuts follow the content and survive insertions; with neighbourhoods of
 ``span - WINDOW + 1`` places, every run of ``span`` characters holds at least one such cut together with
 its whole window, wherever else the records differ. A chunk's digest is the hash of its closing window (of
-more it may share less); records that share a digest are compared exactly, growing the match both ways.
+more it may share less); contents that share a digest are compared exactly, run by run.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,9 @@ from zbior.session import cut_lineage
 
 #: Characters under a chunk's digest: two gear windows of 64, the second 16 after the first.
 WINDOW = 80
-#: Most records whose key is sent to every executor to pick out their texts; beyond it, keys are shuffled.
+#: Most contents whose key is sent to every executor to pick out their texts; beyond it, keys are shuffled.
 BROADCAST_KEYS = 2_000_000
-#: Records with one digest from which it is replaced by finer ones, and most digests for which that is done (the
+#: Contents with one digest from which it is replaced by finer ones, and most digests for which that is done (the
 #: most frequent); the result is the same without.
 HOT, MAX_HOT = 50, 500_000
 
@@ -51,12 +50,31 @@ def cut_points(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.
     return owner[at], behind[at] + 1, digest[at]
 
 
+def _finer(texts: list[str], owner: np.ndarray, pos: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """(index of the text, two hashes, offset) of all runs of ``span`` characters that hold the window of one of the cuts."""
+    points, starts = rolling.code_points(texts)
+    first = starts[owner] + np.maximum(pos - span, 0)
+    last = np.minimum(starts[owner] + pos - WINDOW, starts[owner + 1] - span)
+    edges = np.zeros(len(points) + 1, np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last + 1, -1)
+    at = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+    text = np.searchsorted(starts, at, "right") - 1
+    return text, rolling.mix(rolling.polynomial(points, span)[at]), rolling.mix(rolling.polynomial(rolling.mix(points.astype(np.uint64)), span)[at]), at - starts[text]
+
+
+DIGESTS = "h long, g long, k binary, spans array<struct<s:int,e:int>>"
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
 def chunk_digests(records: DataFrame, span: int, hot: list[int] = ()) -> DataFrame:
-    """``h`` (digest), ``k`` (hash of the content) and ``pos`` of every chunk of ``records`` (k, content).
+    """``h`` (digest) and ``k`` of every chunk of ``records`` (k, content), each pair once for each batch.
 
-    For a digest in ``hot``, in its place the digests of all runs of ``span`` characters around its window, so
-    that only records meet that share a whole run. Copies of one content within a batch count once, so that
-    a content that is copied a million times leaves its batches as a few rows.
+    For a digest in ``hot``, in its place all runs of ``span`` characters around its window, with two hashes
+    ``h`` and ``g`` and the parts of the content that they cover, so that contents meet that share a whole run, and
+    are known to without being compared. A rule of thousands of dashes has one digest and one run, whatever
+    its length. Copies of one content within a batch count once, so that a content that is copied a million
+    times leaves its batches as a few rows.
     """
     sent = records.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64).view(np.uint64)) if hot else None
 
@@ -64,67 +82,65 @@ def chunk_digests(records: DataFrame, span: int, hot: list[int] = ()) -> DataFra
         often = sent.value if sent else np.zeros(0, np.uint64)
         for batch in batches:
             by = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            keys, texts = np.array(list(by), np.int64), list(by.values())
+            keys, texts = pa.array(list(by), pa.binary()), list(by.values())
             for low in range(0, len(texts), 2000):
-                own, names = texts[low : low + 2000], keys[low : low + 2000]
+                own = texts[low : low + 2000]
                 owner, pos, digest = cut_points(own, span)
                 finer = np.isin(digest, often)
-                rows = []
-                for o, p in zip(owner[finer].tolist(), pos[finer].tolist(), strict=True):
-                    first, last = max(0, p - span), min(p - WINDOW, len(own[o]) - span)
-                    rows += [(_signed(xxhash.xxh3_64_intdigest(own[o][s : s + span].encode())), o, p) for s in range(first, last + 1)]
-                h, o, p = np.array(rows, np.int64).reshape(-1, 3).T
-                h, o, p = (np.concatenate(x) for x in ((digest[~finer].view(np.int64), h), (owner[~finer], o), (pos[~finer], p)))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(names[o]), pa.array(p.astype(np.int32))], ["h", "k", "pos"])
-
-    return records.mapInArrow(run, "h long, k long, pos int")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _runs(a: str, b: str, anchors: list[dict], span: int) -> list[tuple[int, int, int]]:
-    """(start in ``a``, start in ``b``, length) of every common run of at least ``span`` around the anchors."""
-    out, reached = [], {}
-    for x, y in sorted((p["a"], p["b"]) for p in anchors):
-        if reached.get(x - y, -1) >= x:
-            continue
-        i, j = x, y
-        if a[i - WINDOW : i] != b[j - WINDOW : j]:
-            continue
-        i, j = i - WINDOW, j - WINDOW
-        step = 64
-        while step:  # grow to the left by shrinking steps, then to the right
-            if i >= step and j >= step and a[i - step : i] == b[j - step : j]:
-                i, j = i - step, j - step
-            else:
-                step //= 2
-        e, f, step = x, y, 64
-        while step:
-            if e + step <= len(a) and f + step <= len(b) and a[e : e + step] == b[f : f + step]:
-                e, f = e + step, f + step
-            else:
-                step //= 2
-        reached[x - y] = e
-        if e - i >= span:
-            out.append((i, j, e - i))
-    return out
+                coarse = np.unique(np.stack([owner[~finer].astype(np.uint64), digest[~finer]]), axis=1)
+                h, g, k, covered = coarse[1].view(np.int64), [None] * coarse.shape[1], coarse[0].astype(np.int64), [None] * coarse.shape[1]
+                if finer.any():
+                    text, h1, h2, at = _finer(own, owner[finer], pos[finer], span)
+                    order = np.lexsort((at, h2, h1, text))
+                    text, h1, h2, at = (x[order] for x in (text, h1, h2, at))
+                    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+                    h, k = np.concatenate([h, h1[first].view(np.int64)]), np.concatenate([k, text[first]])
+                    g += h2[first].view(np.int64).tolist()
+                    covered += [_intervals(x, span) for x in np.split(at, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g, pa.int64()), keys.take(pa.array(low + k)), pa.array(covered, _SPANS)], ["h", "g", "k", "spans"])
+
+    return records.mapInArrow(run, DIGESTS)
+
+
+def _intervals(starts: np.ndarray, span: int) -> list[dict]:
+    """The union of the runs of ``span`` characters at ``starts`` (ascending), as offsets from and to."""
+    if not len(starts):
+        return []
+    gap = np.flatnonzero(np.diff(starts) > span)
+    return [{"s": int(s), "e": int(e) + span} for s, e in zip(starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [-1]])], strict=True)]
+
+
+class _Runs:
+    """A content's code points and the distinct hashes of its runs of ``span`` characters, in order."""
+
+    def __init__(self, text: str, span: int) -> None:
+        self.points, self.span = rolling.code_points([text])[0], span
+        self.hashes, self.first, self.which = np.unique(rolling.polynomial(self.points, span)[: len(self.points) - span + 1], return_index=True, return_inverse=True)
+
+    def shared(self, other: "_Runs") -> tuple[np.ndarray, np.ndarray]:
+        """Where in each of two contents runs begin that the other has as well; equal hashes are compared character by character."""
+        _, mine, theirs = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        same = [i for i, (a, b) in enumerate(zip(self.first[mine].tolist(), other.first[theirs].tolist(), strict=True)) if (self.points[a : a + self.span] == other.points[b : b + self.span]).all()]
+        return np.flatnonzero(np.isin(self.which, mine[same])), np.flatnonzero(np.isin(other.which, theirs[same]))
 
 
 def _verify(pairs: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                runs = _runs(r["ta"], r["tb"], r["anchors"], span)
-                if runs:
-                    rows.append((r["ids_a"], r["ids_b"], [{"a": x, "b": y, "n": n} for x, y, n in runs]))
-            ids = pa.list_(pa.string())
-            spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (ids, ids, spans), strict=True)], ["ids_a", "ids_b", "runs"])
-
-    return pairs.mapInArrow(run, "ids_a array<string>, ids_b array<string>, runs array<struct<a:int,b:int,n:int>>")
+            kept, own, theirs, known = [], [], [], {}
+            for i, (ka, kb, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if len(known) > 1000:
+                    known.clear()
+                a, b = known.get(ka) or known.setdefault(ka, _Runs(ta, span)), known.get(kb) or known.setdefault(kb, _Runs(tb, span))
+                at_a, at_b = a.shared(b)
+                if len(at_a):
+                    kept.append(i)
+                    own.append(_intervals(at_a, span))
+                    theirs.append(_intervals(at_b, span))
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own, _SPANS), pa.array(theirs, _SPANS)], ["ka", "kb", "spans_a", "spans_b"])
+
+    return pairs.mapInArrow(run, "ka binary, kb binary, spans_a array<struct<s:int,e:int>>, spans_b array<struct<s:int,e:int>>")
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -132,56 +148,91 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def shared_spans(df: DataFrame, key: str, text: str, span: int = 120) -> DataFrame:
-    """``id_a`` < ``id_b`` (text) and ``runs`` of every pair of records that share ``span`` or more identical characters.
+def keyed(df: DataFrame, key: str, text: str, span: int = 120) -> DataFrame:
+    """``id`` (text), ``content`` and ``k`` (its 128-bit digest) of the rows that can share a span; others (null, short) are left out."""
+    records = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("content")).filter((F.length("content") >= span) & F.col("id").isNotNull())
+    return records.withColumn("k", F.unhex(F.md5("content")))
+
+
+def linked_contents(records: DataFrame, span: int = 120) -> tuple[DataFrame, DataFrame | None]:
+    """Of ``records`` (from ``keyed``) every two different contents that share ``span`` or more identical characters, and the rest of what they share.
 
-    ``runs`` are structs of the offsets ``a`` and ``b`` and the length ``n`` in code points. Null, blank and
-    short texts share nothing; a record repeated with the same key and text counts once; with one key and
-    several texts, each text counts. Equal contents are compared once and expanded at the end through
-    their ids. Pairs are the result itself; before it only records that share a digest meet, in a join
-    whose skew the engine splits, never in a group held by one task. A digest that very many records share
-    (a line longer than the window but shorter than ``span``, say) gives way to the digests of whole runs,
-    so that it makes no more pairs than the result has.
+    The first frame has ``ka`` < ``kb`` and ``spans_a`` and ``spans_b``, what they share (from ``s`` to ``e``), null where all of it is in the
+    second frame: ``k`` and ``spans`` of runs around hot digests that several contents have (None if there are no hot digests).
+
+    Only contents that share a digest meet, in a join whose skew the engine splits, never in a group held
+    by one task. A digest that very many contents share (a line longer than the window but shorter than
+    ``span``, say) gives way to whole runs, so that it makes no more pairs than there are links. The texts are
+    hashed twice, since keeping the digests until it is known which of them are hot would gather a hot one's rows.
     """
     if span <= WINDOW:
         raise ValueError(f"span must exceed {WINDOW}")
-    records = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("content")).filter((F.length("content") >= span) & F.col("id").isNotNull())
-    keyed = records.withColumn("k", F.xxhash64("content"))
-    contents = keyed.select("k", "content")
+    contents = records.select("k", "content")
     counted = chunk_digests(contents, span).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
     hot = [r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
-    digests = chunk_digests(contents, span, hot).distinct()
-    a, b = (digests.select("h", F.col("k").alias(f"k{x}"), F.col("pos").alias(x)) for x in "ab")
-    met = a.join(b, "h").filter("ka < kb").groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("anchors"))
+    digests = chunk_digests(contents, span, hot)
+    each = digests.select("h", "g", "k").distinct()
+    a, b = (each.select("h", F.col("g").alias(f"g{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
+    met = a.join(b, "h").filter("ka < kb and ga <=> gb").groupBy("ka", "kb").agg(F.bool_or(F.col("ga").isNull()).alias("unsure"))
     met = cut_lineage(met)
-    wanted = _few(met.select(F.col("ka").alias("k")).union(met.select(F.col("kb").alias("k"))).distinct())
-    texts = keyed.join(wanted, "k", "left_semi").groupBy("k", "content").agg(F.collect_set("id").alias("ids"))
-    side = lambda x: texts.select(F.col("k").alias(f"k{x}"), F.col("content").alias(f"t{x}"), F.col("ids").alias(f"ids_{x}"))
-    found = _verify(met.join(side("a"), "ka").join(side("b"), "kb").select("ids_a", "ids_b", "ta", "tb", "anchors"), span)
-    found = found.select(F.explode("ids_a").alias("x"), "ids_b", "runs").select("x", F.explode("ids_b").alias("y"), "runs")
-    copies = keyed.select("k", "id", "content")
-    many = _few(cut_lineage(copies.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("k")))
-    copies = copies.join(many, "k", "left_semi").groupBy("k", "content", "id").agg(F.lit(1).alias("one"))
-    left = copies.select("k", "content", F.col("id").alias("x"))
-    right = copies.select("k", "content", F.col("id").alias("y"))
-    same = left.join(right, ["k", "content"]).filter("x < y").select("x", "y", F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.length("content").alias("n"))).alias("runs"))
-    turned = F.transform("runs", lambda r: F.struct(r["b"].alias("a"), r["a"].alias("b"), r["n"].alias("n")))
-    ordered = found.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.when(F.col("x") < F.col("y"), F.col("runs")).otherwise(turned).alias("runs"))
-    return ordered.unionByName(same.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), "runs")).groupBy("id_a", "id_b").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
-
-
-def shared_characters(spans: DataFrame) -> DataFrame:
-    """``id``, ``n_partners`` and ``shared_chars`` (characters inside any shared span, each once) from ``shared_spans``."""
-    sides = spans.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), F.transform("runs", lambda r: F.struct(r["a"].alias("s"), (r["a"] + r["n"]).alias("e"))).alias("iv")).unionByName(
-        spans.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), F.transform("runs", lambda r: F.struct(r["b"].alias("s"), (r["b"] + r["n"]).alias("e"))).alias("iv"))
-    )
-    # first each interval once with its number of partners, so that a passage shared by very many is a few rows
-    each = sides.select("id", "other", F.explode("iv").alias("iv")).groupBy("id", "iv").agg(F.count("*").alias("n"))
-    partners = sides.groupBy("id").agg(F.count_distinct("other").alias("n_partners"))
+    unsure = met.filter("unsure").select("ka", "kb")
+    wanted = _few(unsure.select(F.col("ka").alias("k")).union(unsure.select(F.col("kb").alias("k"))).distinct())
+    texts = records.join(wanted, "k", "left_semi").groupBy("k").agg(F.first("content").alias("content"))
+    side = lambda x: texts.select(F.col("k").alias(f"k{x}"), F.col("content").alias(f"t{x}"))
+    links = _verify(unsure.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "ta", "tb"), span)
+    if not hot:
+        return links, None
+    whole = digests.filter("g is not null")
+    several = whole.groupBy("h", "g").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("h", "g")
+    return links.unionByName(met.filter("not unsure").select("ka", "kb"), allowMissingColumns=True), whole.join(several, ["h", "g"], "left_semi").select("k", "spans")
+
+
+def _copied(records: DataFrame) -> DataFrame:
+    """``k`` of every content that several ids have."""
+    return cut_lineage(records.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("k"))
+
+
+def shared_pairs(df: DataFrame, key: str, text: str, span: int = 120) -> DataFrame:
+    """``id_a`` < ``id_b`` (text) of every two records that share ``span`` or more identical characters.
+
+    Null, blank and short texts share nothing; a record repeated with the same key and text counts once;
+    with one key and several texts, each text counts. Pairs are the result itself: contents are compared
+    once, and only at the end joined to the ids that have them.
+    """
+    records = keyed(df, key, text, span)
+    links = cut_lineage(linked_contents(records, span)[0].select("ka", "kb"))
+    members = records.select("k", "id")
+    ends = _few(links.select(F.col("ka").alias("k")).union(links.select(F.col("kb").alias("k"))).distinct())
+    own = members.join(ends, "k", "left_semi").distinct()
+    x, y = own.select(F.col("k").alias("ka"), F.col("id").alias("x")), own.select(F.col("k").alias("kb"), F.col("id").alias("y"))
+    different = links.join(x, "ka").join(y, "kb").filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    copies = members.join(_few(_copied(records)), "k", "left_semi").distinct()
+    same = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), "k").filter("id_a < id_b").select("id_a", "id_b")
+    return different.unionByName(same).distinct()
+
+
+def shared_characters(df: DataFrame, key: str, text: str, span: int = 120) -> DataFrame:
+    """For every record that shares spans: ``id``, ``class_id`` (least id with the same content), ``n_copies`` (other ids with it),
+    ``n_links`` (other contents that share a span with it) and ``shared_chars`` (characters inside any shared span, each once).
+
+    Contents are compared, not records, so a content that very many records have costs a row for each of them.
+    Of an id with several contents each comes out. Null, blank and short texts and texts that share nothing do not.
+    """
+    records = keyed(df, key, text, span)
+    links, around = linked_contents(records, span)
+    links = cut_lineage(links)
+    sides = links.select(F.col("ka").alias("k"), F.col("spans_a").alias("iv")).unionByName(links.select(F.col("kb").alias("k"), F.col("spans_b").alias("iv")))
     union = F.aggregate(
         F.sort_array("ivs"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(x["e"] - F.greatest(acc["e"], x["s"]), F.lit(0))).alias("n"), F.greatest(acc["e"], x["e"]).alias("e")),
     )["n"]
-    covered = each.groupBy("id").agg(F.collect_set("iv").alias("ivs")).select("id", union.cast("long").alias("shared_chars"))
-    return covered.join(partners, "id")
+    n_links = sides.groupBy("k").agg(F.count("*").alias("n_links"))
+    parts = sides.unionByName(around.select("k", F.col("spans").alias("iv"))) if around else sides
+    covered = parts.select("k", F.explode("iv").alias("iv")).distinct().groupBy("k").agg(F.collect_list("iv").alias("ivs")).select("k", union.cast("long").alias("covered"))
+    linked = cut_lineage(n_links.join(covered, "k"))
+    wanted = _few(linked.select("k").union(_copied(records)).distinct())
+    own = cut_lineage(records.join(wanted, "k", "left_semi").select("k", "id", F.length("content").cast("long").alias("n")).distinct())
+    classes = own.groupBy("k").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("n_copies"))
+    joined = own.join(classes, "k").join(linked, "k", "left")
+    return joined.select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_copies") > 0, F.col("n")).otherwise(F.col("covered")).alias("shared_chars"))
