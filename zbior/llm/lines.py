@@ -1,9 +1,10 @@
 """Lines repeated across one source's documents, by content-defined chunks.
 
-A line is first brought to the form in which lines are compared. It is then cut not at fixed places but
-where a rolling hash of the last 16 characters says so; the hash never reaches over the line's start, so
-equal lines have equal chunks. Chunks are counted in distinct documents for each source; only lines made
-wholly of chunks that recur often enough are compared as lines.
+A document is cut not at fixed places but where a rolling hash of the last 16 characters says so, after each
+line is brought to the form in which lines are compared. The hash never reaches over a line's start, where there
+is a cut as well: short lines could not be told from their neighbours else. A line is thus a sequence of chunks, and
+equal lines are equal sequences. Chunks are counted in distinct documents for each source; lines that begin
+and end with chunks that recur often enough are then compared as whole sequences, as the definition of a case demands.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zbior.llm import rolling
-from zbior.session import cut_lineage
+from zbior.session import cut_lineage, written
 
 #: Characters that decide about a cut, and one place in how many is a cut.
 WINDOW, RATE = 16, 32
@@ -53,7 +54,7 @@ def _signed(x: int) -> int:
 
 
 def _lines(df: DataFrame, key: str, document: str, source: str, text: str) -> DataFrame:
-    """``key``, ``src``, ``doc`` (hashes), ``line_no`` (from 1), ``line`` (128-bit digest) and ``chunks`` of every line that is not blank."""
+    """``key``, ``src``, ``doc`` (hashes), ``line_no`` (from 1) and ``chunks`` (digests, in order) of every line that is not blank."""
     kind = df.schema[key].dataType.simpleString()
     hashed = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0")))
     todo = df.select(F.col(key).alias("key"), hashed(source).alias("src"), F.when(F.col(document).isNotNull(), hashed(document)).alias("doc"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0)
@@ -70,13 +71,12 @@ def _lines(df: DataFrame, key: str, document: str, source: str, text: str) -> Da
                             numbers.append(n)
                             lines.append(plain)
                 take = pa.array(rows, pa.int64())
-                digests = pa.array([xxhash.xxh3_128_digest(line.encode()) for line in lines], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(take) for c in range(3)), pa.array(numbers, pa.int64()), digests, pa.array(chunk_lines(lines) if lines else [], pa.list_(pa.int64()))],
-                    ["key", "src", "doc", "line_no", "line", "chunks"],
+                    [*(part.column(c).take(take) for c in range(3)), pa.array(numbers, pa.int64()), pa.array(chunk_lines(lines) if lines else [], pa.list_(pa.int64()))],
+                    ["key", "src", "doc", "line_no", "chunks"],
                 )
 
-    return todo.mapInArrow(run, f"key {kind}, src long, doc long, line_no long, line binary, chunks array<long>")
+    return todo.mapInArrow(run, f"key {kind}, src long, doc long, line_no long, chunks array<long>")
 
 
 def repeated_lines(df: DataFrame, key: str, document: str, source: str, text: str, at_least: int = 6) -> DataFrame:
@@ -86,17 +86,20 @@ def repeated_lines(df: DataFrame, key: str, document: str, source: str, text: st
     once. Null and empty texts have no lines, blank lines count in ``line_no`` but are never reported; a null
     source is a source, a null document is none. A repeated row's lines come out once. Counts are
     aggregated before they are shuffled, so a chunk that is in every document costs each task one row.
-    Documents, sources and lines travel as 64- and 128-bit hashes, never as text.
+    Documents, sources and chunks travel as 64-bit hashes, never as text: only a collision with one of the few
+    recurring chunks could tell, not one among all. Texts are read and hashed once.
     """
-    lines = _lines(df, key, document, source, text)
+    lines = written(_lines(df, key, document, source, text))
     chunks = lines.select("src", "doc", F.explode("chunks").alias("chunk"))
     often = cut_lineage(chunks.groupBy("src", "chunk").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= at_least).select("src", "chunk"))
     if often.count() <= BROADCAST_CHUNKS:
         often = F.broadcast(often)
-    each = lines.select("key", "src", "doc", "line_no", "line", F.size("chunks").alias("n"), F.explode("chunks").alias("chunk"))
-    whole = each.join(often, ["src", "chunk"], "left_semi").groupBy("key", "src", "doc", "line_no", "line", "n").agg(F.count("*").alias("found")).filter("found % n = 0")
-    same = whole.groupBy("src", "line").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= at_least).select("src", "line")
-    return whole.join(same, ["src", "line"], "left_semi").select(F.col("key").alias(key), "line_no").distinct()
+    near = lines
+    for end in (1, -1):
+        near = near.withColumn("chunk", F.element_at("chunks", end)).join(often, ["src", "chunk"], "left_semi").drop("chunk")
+    near = near.select("key", "src", "doc", "line_no", F.xxhash64("chunks", F.size("chunks")).alias("line"))
+    same = near.groupBy("src", "line").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= at_least).select("src", "line")
+    return near.join(same, ["src", "line"], "left_semi").select(F.col("key").alias(key), "line_no").distinct()
 
 
 def without_lines(df: DataFrame, key: str, text: str, lines: DataFrame) -> DataFrame:
