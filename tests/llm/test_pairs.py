@@ -202,10 +202,30 @@ def test_leaks_against_all_runs(spark, data, block_mb):
     assert rows(found) == brute_leaks([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()], 20)
 
 
-def test_reordered_passages_are_covered(spark):
+@pytest.mark.parametrize("block_mb", [16, 0])
+def test_reordered_passages_are_covered(spark, block_mb):
     w = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(w[30:60] + ["x"] + w[:30])), (2, " ".join(w[:7])), (3, None), (4, ""), (5, " ".join(w) + " " + " ".join(w)), (1, "nic " * 9)], "doc_id long, text string").selectExpr("*", "9 as tiles")
     items = spark.createDataFrame([(7, " ".join(w)), (8, None), (9, "krótki"), (7, " ".join(w))], "item_id long, item_text string")
-    got = {r.doc_id: (r.tiles, r.longest, r.covered) for r in leakage.find_leaks(docs, items).collect()}
+    got = {r.doc_id: (r.tiles, r.longest, r.covered) for r in leakage.find_leaks(docs, items, block_mb=block_mb).collect()}
     assert got == {1: (2, 30, 60), 5: (1, 60, 60)}
+    both = [leakage.find_leaks(docs, items, block_mb=mb).filter("item_id = 7") for mb in (16, 0)]
+    assert rows(both[0]) == rows(both[1]) and both[0].count() == both[1].count() == 2
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 and leakage.find_leaks(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("block_mb", [16, 0])
+def test_an_item_with_several_texts(spark, block_mb):
+    a, b, instruction = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 40), ("b", 25), ("i", 12)))
+    items = spark.createDataFrame([(1, a), (1, b), *((k, f"{instruction} {' '.join(f'q{k}x{i}' for i in range(30))}") for k in range(2, 200))], "item_id long, item_text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} z"), (3, instruction), (4, f"{instruction} " + " ".join(f"q7x{i}" for i in range(30))), (None, a)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.longest) for r in leakage.find_leaks(docs, items, min_match=20, block_mb=block_mb).collect()} == {(1, 1, 40), (2, 1, 25), (4, 7, 42)}
+    shared = leakage.find_leaks(docs, items, block_mb=block_mb).filter("longest = 12")
+    assert shared.filter("doc_id = 3").count() == 198 and shared.filter("doc_id = 4").count() == 197
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=20, max_size=60), st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
+def test_equal_runs_share_a_sampled_run(passage, before, after):
+    text = lambda *parts: " ".join(f"w{x}" for p in parts for x in p)
+    assert np.intersect1d(leakage.sampled_runs(text(before, passage), 20, {}), leakage.sampled_runs(text(passage, after), 20, {})).size

@@ -98,18 +98,18 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items", "item_id", "item_text"))
+def _leaks(spark: SparkSession, folder: str, min_match: int) -> DataFrame:
+    return leakage.find_leaks(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items", "item_id", "item_text"), min_match=min_match)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with at least 20 consecutive words of an evaluation item."""
-    return _leaks(spark, folder).filter("longest >= 20").select("doc_id", "item_id").distinct()
+    return _leaks(spark, folder, 20).select("doc_id", "item_id").distinct()
 
 
 def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose tiles cover at least half of an item's words, in any order."""
-    return _leaks(spark, folder).filter("covered * 2 >= item_words").select("doc_id", "item_id", "tiles", "longest", "covered", "item_words").distinct()
+    return _leaks(spark, folder, 8).filter("covered * 2 >= item_words").select("doc_id", "item_id", "tiles", "longest", "covered", "item_words")
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
