@@ -48,6 +48,24 @@ def test_join_finds_the_best_of_all_pairs(spark, data, monkeypatch, most):
         assert not ref_id or similarity == pytest.approx(best)
 
 
+def test_few_pairs_are_compared(data):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    ref = duckdb.sql(f"SELECT field, ref_id, canonical, aliases FROM '{folder}/canon_values.parquet'").fetchall()
+    listed = sorted({(f, i, form) for f, i, name, more in ref for x in [name, *more] for form in canon.forms(x)})
+    for field in ("localization", "religion"):
+        typed = {canon.compact(v) for (v,) in duckdb.sql(f"SELECT DISTINCT {field} FROM '{folder}/forum_users.parquet' WHERE {field} IS NOT NULL").fetchall()} - {""}
+        own = [x for x in listed if x[0] == field]
+        counts = Counter((field, t) for form in [*typed, *(x[2] for x in own)] for t in canon.tokens(form))
+        index = canon.Index(own, counts, canon.THRESHOLD)
+        compared = {form: set(index.candidates(field, form)) for form in typed}
+        assert sum(map(len, compared.values())) < 0.1 * len(typed) * len(own)
+        for form in typed:
+            sets = [(set(canon.tokens(form)), set(canon.tokens(x[2]))) for x in own]
+            assert {k for k, (a, b) in enumerate(sets) if len(a & b) >= canon.THRESHOLD * len(a | b)} <= compared[form]
+
+
 def brute_pairs(posts, span):
     where = defaultdict(set)
     for i, t in posts:
