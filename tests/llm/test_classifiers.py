@@ -1,11 +1,20 @@
 """Personal details and abuse: held-out accuracy, offsets, and edge cases."""
 
+import math
+import os
 import random
+import re
+import sys
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+sys.path.insert(0, os.path.dirname(__file__))
+
+from hand_details import SENTENCES  # noqa: E402
+
 from zbior.llm import pii, queries, toxic
 from zbior.sources.tables import table
 
@@ -45,12 +54,52 @@ def test_held_out_sentences(weights):
     assert wrong <= 0.03 * total
 
 
+def marked(line):
+    """The text of a hand-written sentence, and the places and kinds of its details."""
+    text, marks = "", set()
+    for part in re.split(r"(\{[^}]*\})", line):
+        if part.startswith("{"):
+            kind, part = part[1:-1].split("|")
+            if part[0] == "@":
+                part = next(d for c in "0123456789" if pii.pesel_ok(d := part[1:] + c))
+            elif part[0] == "#":
+                part = next(part[1:4] + c + part[4:] for c in "0123456789" if pii._check(part[1:4], c + part[4:], (7, 3, 1, 9, 7, 3, 1, 7, 3)))
+            marks.add((len(text), len(text) + len(part), kind))
+        text += part
+    return text, marks
+
+
+def test_sentences_written_by_hand(weights):
+    assert len(SENTENCES) > 200
+    wanted, found, right = Counter(), Counter(), Counter()
+    for text, marks in map(marked, SENTENCES):
+        got = {(s.start, s.end, s.kind) for s in pii.details(text, weights)}
+        for counts, which in ((wanted, marks), (found, got), (right, marks & got)):
+            counts.update(k for _, _, k in which)
+    assert {k: (right[k] / wanted[k], right[k] / found[k]) for k in pii.KINDS if right[k] < 0.9 * max(wanted[k], found[k])} == {}
+
+
+def test_expected_counts_are_those_of_all_sets():
+    r = random.Random(8)
+    for _ in range(30):
+        spans = sorted((pii.Span(a, a + r.randint(1, 30), "phone", [f"f{r.randint(0, 3)}"]) for a in (r.randint(0, 90) for _ in range(6))), key=lambda s: (s.end, s.start))
+        w = {f"phone:f{i}": r.uniform(-1, 1) for i in range(4)} | {f"phone {gap} phone": r.uniform(-1, 1) for gap in ("at once", "soon", "later")}
+        sets = [[k for k in range(6) if m >> k & 1] for m in range(64)]
+        sets = [c for c in sets if all(spans[a].end <= spans[b].start for a, b in zip(c, c[1:]))]
+        weight = [math.exp(sum(w[spans[k].features[0]] for k in c) + sum(w.get(pii._tie(spans[a], spans[b]), 0) for a, b in zip(c, c[1:]))) for c in sets]
+        one, two = pii._expected(spans, w)
+        assert one == pytest.approx([sum(v for v, c in zip(weight, sets) if k in c) / sum(weight) for k in range(6)])
+        assert all(p == pytest.approx(sum(v for v, c in zip(weight, sets) if pair in zip(c, c[1:])) / sum(weight)) for pair, p in two.items())
+
+
 def test_dynamic_programme_finds_the_best_set():
     r = random.Random(2)
     for _ in range(200):
-        spans = sorted((pii.Span(a, a + r.randint(1, 6), "phone", [f"f{r.randint(0, 9)}"]) for a in (r.randint(0, 20) for _ in range(8))), key=lambda s: (s.end, s.start, s.kind))
+        scale = r.choice([1, 4, 9])
+        spans = sorted((pii.Span(scale * a, scale * a + r.randint(1, 6), "phone", [f"f{r.randint(0, 9)}"]) for a in (r.randint(0, 20) for _ in range(8))), key=lambda s: (s.end, s.start, s.kind))
         w = {f"phone:f{i}": r.uniform(-2, 3) for i in range(10)}
-        value = lambda chosen: sum(w[s.features[0]] for s in chosen)
+        w |= {f"phone {gap} phone": r.uniform(-2, 2) for gap in ("at once", "soon", "later")}
+        value = lambda chosen: sum(w[s.features[0]] for s in chosen) + sum(w.get(pii._tie(a, b), 0) for a, b in zip(chosen, chosen[1:]))
         apart = lambda chosen: all(a.end <= b.start or b.end <= a.start for i, a in enumerate(chosen) for b in chosen[:i])
         best = max(value(c) for m in range(256) for c in [[s for i, s in enumerate(spans) if m >> i & 1]] if apart(c))
         got = pii.decode(spans, w)
