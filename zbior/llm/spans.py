@@ -110,6 +110,24 @@ def _intervals(starts: np.ndarray, span: int) -> list[dict]:
     return [{"s": int(s), "e": int(e) + span} for s, e in zip(starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [-1]])], strict=True)]
 
 
+class _Hashes:
+    """A content and the hashes of its runs of ``span`` characters."""
+
+    def __init__(self, text: str, span: int) -> None:
+        self.text, self.span = text, span
+        self.hashes = rolling.polynomial(rolling.code_points([text])[0], span)[: len(text) - span + 1]
+        self.sorted = np.sort(self.hashes)
+
+    def meets(self, other: "_Hashes") -> bool:
+        """Whether any run occurs in both; equal hashes are compared character by character."""
+        at = np.minimum(np.searchsorted(other.sorted, self.hashes), len(other.sorted) - 1)
+        for i in np.flatnonzero(other.sorted[at] == self.hashes).tolist():
+            j = int(np.flatnonzero(other.hashes == self.hashes[i])[0])
+            if self.text[i : i + self.span] == other.text[j : j + self.span]:
+                return True
+        return False
+
+
 class _Runs:
     """A content's code points and the distinct hashes of its runs of ``span`` characters, in order."""
 
@@ -124,21 +142,29 @@ class _Runs:
         return np.flatnonzero(np.isin(self.which, mine[same])), np.flatnonzero(np.isin(other.which, theirs[same]))
 
 
-def _verify(pairs: DataFrame, span: int) -> DataFrame:
+def _verify(pairs: DataFrame, span: int, places: bool) -> DataFrame:
+    """Those of ``pairs`` (ka, kb, ta, tb) that share a run; with ``places``, where."""
+    make = _Runs if places else _Hashes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, own, theirs, known = [], [], [], {}
             for i, (ka, kb, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if len(known) > 1000:
                     known.clear()
-                a, b = known.get(ka) or known.setdefault(ka, _Runs(ta, span)), known.get(kb) or known.setdefault(kb, _Runs(tb, span))
+                a, b = known.get(ka) or known.setdefault(ka, make(ta, span)), known.get(kb) or known.setdefault(kb, make(tb, span))
+                if not places:
+                    if a.meets(b):
+                        kept.append(i)
+                    continue
                 at_a, at_b = a.shared(b)
                 if len(at_a):
                     kept.append(i)
                     own.append(_intervals(at_a, span))
                     theirs.append(_intervals(at_b, span))
             take = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own, _SPANS), pa.array(theirs, _SPANS)], ["ka", "kb", "spans_a", "spans_b"])
+            spans = (own, theirs) if places else ([None] * len(kept),) * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, _SPANS) for x in spans)], ["ka", "kb", "spans_a", "spans_b"])
 
     return pairs.mapInArrow(run, "ka binary, kb binary, spans_a array<struct<s:int,e:int>>, spans_b array<struct<s:int,e:int>>")
 
@@ -154,11 +180,11 @@ def keyed(df: DataFrame, key: str, text: str, span: int = 120) -> DataFrame:
     return records.withColumn("k", F.unhex(F.md5("content")))
 
 
-def linked_contents(records: DataFrame, span: int = 120) -> tuple[DataFrame, DataFrame | None]:
+def linked_contents(records: DataFrame, span: int = 120, places: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Of ``records`` (from ``keyed``) every two different contents that share ``span`` or more identical characters, and the rest of what they share.
 
     The first frame has ``ka`` < ``kb`` and ``spans_a`` and ``spans_b``, what they share (from ``s`` to ``e``), null where all of it is in the
-    second frame: ``k`` and ``spans`` of runs around hot digests that several contents have (None if there are no hot digests).
+    second frame and without ``places``: ``k`` and ``spans`` of runs around hot digests that several contents have (None if there are no hot digests).
 
     Only contents that share a digest meet, in a join whose skew the engine splits, never in a group held
     by one task. A digest that very many contents share (a line longer than the window but shorter than
@@ -179,12 +205,13 @@ def linked_contents(records: DataFrame, span: int = 120) -> tuple[DataFrame, Dat
     wanted = _few(unsure.select(F.col("ka").alias("k")).union(unsure.select(F.col("kb").alias("k"))).distinct())
     texts = records.join(wanted, "k", "left_semi").groupBy("k").agg(F.first("content").alias("content"))
     side = lambda x: texts.select(F.col("k").alias(f"k{x}"), F.col("content").alias(f"t{x}"))
-    links = _verify(unsure.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "ta", "tb"), span)
-    if not hot:
+    links = _verify(unsure.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "ta", "tb"), span, places)
+    links = links.unionByName(met.filter("not unsure").select("ka", "kb"), allowMissingColumns=True)
+    if not (hot and places):
         return links, None
     whole = digests.filter("g is not null")
     several = whole.groupBy("h", "g").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("h", "g")
-    return links.unionByName(met.filter("not unsure").select("ka", "kb"), allowMissingColumns=True), whole.join(several, ["h", "g"], "left_semi").select("k", "spans")
+    return links, whole.join(several, ["h", "g"], "left_semi").select("k", "spans")
 
 
 def _copied(records: DataFrame) -> DataFrame:
@@ -200,7 +227,7 @@ def shared_pairs(df: DataFrame, key: str, text: str, span: int = 120) -> DataFra
     once, and only at the end joined to the ids that have them.
     """
     records = keyed(df, key, text, span)
-    links = cut_lineage(linked_contents(records, span)[0].select("ka", "kb"))
+    links = cut_lineage(linked_contents(records, span, places=False)[0].select("ka", "kb"))
     members = records.select("k", "id")
     ends = _few(links.select(F.col("ka").alias("k")).union(links.select(F.col("kb").alias("k"))).distinct())
     own = members.join(ends, "k", "left_semi").distinct()
