@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from zbior.functions import tokens as tk
 from zbior.functions import urls as ur
-from zbior.plans.model import ENTITIES
 
 #: Most characters of a text that the annotator reads by default; None reads all.
 MAX_LENGTH = None
@@ -57,6 +56,19 @@ def _encoder(path: str | None):
     return _ENCODERS[path]
 
 
+def _token(t: Column, low: Column) -> Column:
+    """A token with word class, tag, relation and features, by rules; signs are punctuation."""
+    sign = ~t.rlike(rf"^{tk.WORD}$")
+    pos = F.when(sign, "PUNCT").otherwise(tk.word_class(low))
+    tag = F.concat_ws(":", F.lower(pos), F.lower(F.get_json_object(tk.morphology(low), "$.Case")), F.lower(F.get_json_object(tk.morphology(low), "$.Gender")))
+    dep = F.when(sign, "punct").when(pos == "ADJ", "amod").when(pos == "ADP", "case").when(pos == "CCONJ", "cc").when(pos == "ADV", "advmod").when(pos == "VERB", "ROOT").when(pos == "NUM", "nummod").otherwise("dep")
+    features = F.from_json(F.when(~sign, tk.morphology(low)), "map<string,string>")
+    return F.struct(
+        t.alias("token"), low.alias("lemma"), pos.alias("pos"), F.when(sign, "interp").otherwise(tag).alias("tag"), dep.alias("dep"), features.alias("morph_features"),
+        t.rlike(r"^\p{L}+$").alias("is_alpha"), low.isin(tk.STOP).alias("is_stop"), sign.alias("is_punct"),
+    )
+
+
 class BasicTokenizer:
     """Words and their statistics."""
 
@@ -86,9 +98,9 @@ class RuleAnnotator:
         text = _content(df) if self.max_length is None else F.substring(_content(df), 1, self.max_length)
         words = tk.tokens(text)
         n, sentences, chars = F.size(words).cast("long"), tk.sentence_count(text), F.length(text).cast("long")
-        annotated = F.transform(words, lambda t: F.struct(t.alias("token"), t.alias("lemma"), tk.word_class(t).alias("pos"), t.rlike(r"^\p{L}+$").alias("is_alpha"), t.isin(tk.STOP).alias("is_stop"), tk.morphology(t).alias("morph_features")))
-        labelled = lambda label: lambda e: F.struct(e.alias("text"), F.lit(label).alias("label"))
-        entities = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), labelled(k)) for k, p in ENTITIES.items()])
+        pieces = F.regexp_extract_all(text, F.lit(rf"{tk.WORD}|[^\p{{L}}\p{{N}}_\s]"), F.lit(0))  # words and single signs
+        annotated = F.transform(pieces, lambda t: _token(t, F.lower(t)))
+        entities = F.concat(*[tk.found_at(text, p, k) for k, p in tk.ENTITIES.items()])
         mood = tk.sentiment(words)
         polarity, subjectivity = (mood["polarity"], mood["subjectivity"]) if self.sentiment else (F.lit(None).cast("double"), F.lit(None).cast("double"))
         stats = F.struct(
@@ -102,6 +114,12 @@ def _urls(df: DataFrame) -> Column:
     return F.col("content_urls") if "content_urls" in df.columns else F.array().cast("array<string>")
 
 
+def _categories(each: Column) -> Column:
+    """A map of each distinct domain to its category and trust."""
+    known = F.array_distinct(F.transform(F.filter(each, lambda u: u["domain"].isNotNull()), lambda u: F.struct(u["domain"].alias("key"), F.struct(u["category"].alias("category"), u["trust_score"].alias("trust_score")).alias("value"))))
+    return F.map_from_entries(known)
+
+
 class UrlAnalyzer:
     """Each address with domain, category, trust and type, and statistics by category."""
 
@@ -113,7 +131,7 @@ class UrlAnalyzer:
     def apply(self, df: DataFrame) -> DataFrame:
         capped = F.filter(F.slice(F.coalesce(_urls(df), F.array().cast("array<string>")), 1, self.most), lambda u: u.isNotNull() & (F.trim(u) != ""))
         each = F.transform(capped, lambda u: F.struct(u.alias("url"), ur.domain(u).alias("domain"), ur.domain_category(ur.domain(u)).alias("category"), ur.trust_score(ur.domain_category(ur.domain(u))).alias("trust_score"), ur.url_type(u).alias("url_type"), F.lit(True).alias("is_external")))
-        return df.withColumn(self.name, F.struct(each.alias("urls"), ur.url_stats(_urls(df), None, self.most).alias("url_stats")))
+        return df.withColumn(self.name, F.struct(each.alias("urls"), _categories(each).alias("domain_categories"), ur.url_stats(_urls(df), None, self.most).alias("url_stats")))
 
 
 class DomainStats:

@@ -17,16 +17,14 @@ class AnalyzerConfig:
 @dataclass
 class AnalysisConfig:
     enabled: bool = True
-    concurrency: int = 4
     analyzers: list[AnalyzerConfig] = field(default_factory=list)
-    output: dict[str, Any] = field(default_factory=lambda: {"format": "parquet"})
 
 
 def from_dict(data: dict[str, Any]) -> AnalysisConfig:
-    """Parameters may stand under ``params`` or ``config``; unknown keys are ignored."""
+    """Parameters may stand under ``params`` or ``config``; unknown keys are ignored, those of a crawler and its output among them (Spark has its own)."""
     analysis = data.get("analysis", data)
     own = [AnalyzerConfig(a["name"], dict(a.get("params") or a.get("config") or {})) for a in analysis.get("analyzers", [])]
-    return AnalysisConfig(bool(analysis.get("enabled", True)), int(analysis.get("concurrency", 4)), own, dict(data.get("output", {"format": "parquet"})))
+    return AnalysisConfig(bool(analysis.get("enabled", True)), own)
 
 
 def load_config(path: str) -> AnalysisConfig:
@@ -47,7 +45,7 @@ def save_config(config: AnalysisConfig, path: str) -> None:
     import yaml
 
     data = asdict(config)
-    Path(path).write_text(yaml.safe_dump({"analysis": {k: data[k] for k in ("enabled", "concurrency", "analyzers")}, "output": data["output"]}, allow_unicode=True, sort_keys=False))
+    Path(path).write_text(yaml.safe_dump({"analysis": {k: data[k] for k in ("enabled", "analyzers")}}, allow_unicode=True, sort_keys=False))
 
 
 def select(kinds: list[str], least: int = 2, sentiment: bool = True) -> AnalysisConfig:

@@ -6,6 +6,7 @@ from importlib.metadata import entry_points
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zbior.analyzers.builtin import BUILTIN
 from zbior.analyzers.config import AnalysisConfig
@@ -18,7 +19,10 @@ _EXTRA: dict[str, type] = {}
 
 
 class Analyzer(Protocol):
-    """``apply`` adds one struct column named ``name`` to a frame with ``content`` and ``content_urls``."""
+    """``apply`` adds one struct column named ``name`` to a frame with ``content`` and ``content_urls``.
+
+    ``setup`` (before the first frame) and ``close`` (after the plan is made) may be left out.
+    """
 
     name: str
 
@@ -45,9 +49,30 @@ def create(name: str, **params: Any) -> Analyzer:
 
 
 def run(df: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """``df`` with a column of results for each configured analyzer; all of it is one pass over the rows."""
+    """``df`` with a column of results for each configured analyzer; all of it is one pass over the rows.
+
+    An analyzer that cannot be made or applied does not stop the others: its column is null, and
+    ``analysis_errors`` (a map, there only if there are any) says why. A name that nobody offers raises KeyError. An error
+    within rows stops the job as any error of a task does; the built-in analyzers raise none.
+    """
     if not config.enabled:
         return df
+    errors: dict[str, str] = {}
     for a in config.analyzers:
-        df = create(a.name, **a.params).apply(df)
+        if ALIASES.get(a.name, a.name) not in _known():
+            raise KeyError(a.name)
+        try:
+            analyzer = create(a.name, **a.params)
+            getattr(analyzer, "setup", lambda: None)()
+            try:
+                out = analyzer.apply(df)
+                out.schema  # the plan is analysed here, so that an error in it is this analyzer's
+            finally:
+                getattr(analyzer, "close", lambda: None)()
+            df = out
+        except Exception as e:
+            errors[a.name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+            df = df.withColumn(ALIASES.get(a.name, a.name), F.lit(None).cast("struct<error:string>"))
+    if errors:
+        df = df.withColumn("analysis_errors", F.create_map(*[F.lit(x) for pair in errors.items() for x in pair]))
     return df

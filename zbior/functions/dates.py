@@ -159,6 +159,12 @@ def board_date(text: Column, as_of: Column) -> Column:
     return _display(text, as_of, forms, _BOARD_MONTHS)
 
 
+def author_line_date(text: Column) -> Column:
+    """``YYYY-MM-DD HH:MM`` from the ISO date within a post's author line, null if there is none."""
+    date, clock = (F.regexp_extract(text, rf"(\d{{4}}-\d{{2}}-\d{{2}})[T,]?{SPACE}*(\d{{1,2}}:\d{{2}})", i) for i in (1, 2))
+    return F.when(date != "", F.concat_ws(" ", date, F.lpad(clock, 5, "0")))
+
+
 def stored_date(text: Column, as_of: Column) -> Column:
     """As ``board_date``, with more month names, 24-hour dates after a weekday and ISO dates, without am and pm."""
     forms = [

@@ -76,11 +76,6 @@ def strip_quotes(html: Column) -> Column:
     return apply_rules(F.coalesce(html, F.lit("")), STRIP_QUOTES)
 
 
-def trim_leading_quotes(html: Column) -> Column:
-    """Markup without opening quote tags at its start."""
-    return F.regexp_replace(html, rf"(?is)^(?:{SPACE}*(?:<blockquote[^>]*>|<div[^>]*quote[^>]*>))+", "")
-
-
 def gender(text: Column) -> Column:
     """M or K from the words and letters in use, else null."""
     g = F.lower(strip(text))

@@ -21,6 +21,13 @@ ADJECTIVE = "(?:ski|ska|skie|cki|cka|ckie|ny|na|ne|ego|emu|ych|ymi|ły|wy|wa|we|
 VERB = "(?:uje|uję|ywa|ąć|ać|eć|ić|yć|ał|ała|ało|ali|ił|iła|ili|ia|zi|zy|sze)$"
 ADVERB = "(?:nie|zo|ko|no|wo|cie)$"
 
+# Patterns of the default entity annotator.
+ENTITIES = {
+    "PERSON": r"\p{Lu}\p{Ll}+(?:ski|cki|ska|cka|iuk|ec)\b",
+    "ORG": r"(?:redakcja|kaplica|parafia|szkoła|biblioteka|drużyna) \p{L}+",
+    "GPE": r"[0-9]{2}-[0-9]{3} \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+}
+
 
 def tokens(text: Column, lower: bool = True, least: int = 1) -> Column:
     """Words of ``text`` in order; null and empty texts have none."""
@@ -29,11 +36,6 @@ def tokens(text: Column, lower: bool = True, least: int = 1) -> Column:
     return F.filter(found, lambda t: F.length(t) >= least) if least > 1 else found
 
 
-def fallback_tokens(text: Column) -> Column:
-    """Pieces between white space, for texts that an annotator could not read."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+"), lambda t: t != "")
-
-
 def token_stats(words: Column) -> Column:
     """Struct of total, unique and mean length; all 0 without words."""
     n = F.size(words)
@@ -78,3 +80,16 @@ def morphology(token: Column) -> Column:
     case = F.when(token.rlike("(?:owi|emu)$"), "Dat").when(token.rlike("(?:ach|ech|ych)$"), "Loc").when(token.rlike("(?:ami|em|ymi)$"), "Ins").when(token.rlike("(?:ów|ego|y|i)$"), "Gen").when(token.rlike("ę$"), "Acc").otherwise("Nom")
     kind = F.when(token.rlike("(?:a|ej|ą|ę)$"), "Fem").when(token.rlike("(?:o|e)$"), "Neut").otherwise("Masc")
     return F.when(word_class(token).isin("NOUN", "ADJ"), F.concat(F.lit('{"Case":"'), case, F.lit('","Gender":"'), kind, F.lit('"}')))
+
+
+def found_at(text: Column, pattern: str, label: str) -> Column:
+    """Array of structs of what ``pattern`` finds in ``text``, in order: text, label, start and end (offsets from 0)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    empty = F.array().cast("array<struct<text:string,label:string,start_char:int,end_char:int>>")
+
+    def add(out: Column, e: Column) -> Column:
+        after = F.coalesce(F.try_element_at(out, F.lit(-1))["end_char"], F.lit(0))
+        start = (after + F.instr(F.substring(text, after + 1, F.length(text)), e) - 1).cast("int")
+        return F.concat(out, F.array(F.struct(e.alias("text"), F.lit(label).alias("label"), start.alias("start_char"), (start + F.length(e)).cast("int").alias("end_char"))))
+
+    return F.aggregate(found, empty, add)

@@ -19,17 +19,18 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str, how: st
 
     A name is found by its first ``GRAM`` characters among the ``GRAM``-long pieces of the texts, an equi-join,
     and then tested; shorter names by pieces of their own length, the empty name by the empty piece. Null
-    texts contain nothing; names are made distinct first; an empty side gives no match.
+    texts contain nothing; names are made distinct first; an empty side gives no match. Pieces travel with a digest of
+    their text alone, so what is shuffled grows with the texts' length, not its square.
     """
     needles = names.filter(F.col(name).isNotNull()).distinct().withColumn("__needle", ascii_lower(F.col(name))).withColumn("__gram", F.substring("__needle", 1, GRAM))
     lengths = [r[0] for r in needles.select(F.length("__gram")).distinct().collect()]  # at most GRAM + 1 numbers
-    hay = texts.withColumn("__text", ascii_lower(F.col(text)))
+    hay = texts.withColumn("__text", ascii_lower(F.col(text))).withColumn("__hay", F.unhex(F.md5("__text")))
     n = F.length("__text")
     piece = lambda k: lambda i: F.substring("__text", i, F.lit(k))
     grams = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), piece(k))).otherwise(F.array().cast("array<string>")) for k in sorted(lengths)]
     pieces = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    exploded = hay.withColumn("__gram", F.explode(pieces))
-    hits = exploded.join(needles, "__gram").filter(F.contains("__text", "__needle")).drop("__gram", "__needle", "__text")
+    met = hay.select("__hay", F.explode(pieces).alias("__gram")).join(needles, "__gram").drop("__gram").distinct()
+    hits = hay.join(met, "__hay").filter(F.contains("__text", "__needle")).drop("__hay", "__needle", "__text")
     if how == "inner":
         return hits
     return hits.unionByName(_without(texts, hits), allowMissingColumns=True)

@@ -3,31 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from zbior.analyzers import AnalysisConfig, run
-from zbior.functions import dates, text, urls
-from zbior.operators.resolve import surrogate
-from zbior.sources import jsonl, pages
-from zbior.sources.tables import latest
-
-
-def posts_of_pages(raw: DataFrame, style: str, fetched: str) -> DataFrame:
-    """Posts of thread pages (page_id, url, html, ``fetched``): ids, cleaned text, outgoing addresses, author and date.
-
-    Ids come from natural keys, so that a page fetched again gives the same ids; of posts fetched more than
-    once the last stays. Posts without a thread in their page's link or markup are left out.
-    """
-    thread = raw.select("page_id", F.col(fetched).alias("updated_at"), pages.thread_param(F.col("url"), F.col("html")).alias("t"), urls.domain(F.col("url")).alias("host"))
-    found = pages.extract(raw, "posts", style).join(thread.filter("t is not null"), "page_id")
-    clean = text.clean_post(F.col("markup")) if style == "tables" else text.clean_post_keeping_links(F.col("markup"))
-    own = found.select(
-        surrogate("host", "t", "href", "pos").alias("id"), surrogate("host", "t").alias("thread_id"), surrogate("host", "username").alias("user_id"), "username",
-        text.post_number(F.col("href")).alias("post_number"), clean.alias("content"), urls.extract_urls(text.strip_quotes(F.col("markup")), F.col("url")).alias("content_urls"),
-        F.coalesce(dates.board_date(F.col("post_date"), F.col("updated_at")), dates.stored_date(F.col("post_date"), F.col("updated_at")), F.col("post_date")).alias("post_date"),
-        pages.profile(F.col("profile")).alias("profile"), "url", "updated_at",
-    )
-    return latest(own, ["id"], ["updated_at"])
+from zbior.archive import posts_of_pages as posts_of_pages
+from zbior.sources import jsonl
 
 
 def analyze_jsonl(spark: SparkSession, source: str, target: str, config: AnalysisConfig) -> DataFrame:

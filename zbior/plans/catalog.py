@@ -20,7 +20,8 @@ SQL: dict[str, str] = {}
 # Keywords of the two vocabulary queries, and parts of place names.
 KEYWORDS = "bóg jezus chrystus modlitwa wiara kościół".split()
 VOCABULARY = [*KEYWORDS, "duch", "święty"]
-PLACE_PARTS = ["Górne", "Dolne", "Leśne", "Stare"]
+PLACES = ["Watykan", "Rzym", "Kraków", "Częstochowa"]
+TOWNS = ["Górne", "Dolne", "Leśne", "Stare"]
 
 
 def query(sql: str, prelude: bool = True):
@@ -118,11 +119,13 @@ def pos_share(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT case_form, count(*) AS frequency, count(DISTINCT id) AS posts_count FROM annotated WHERE pos = 'NOUN' GROUP BY case_form ORDER BY frequency DESC""")
 def noun_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases of nouns, read from the JSON of features; each post sends one row for each of its cases."""
+    """Cases of nouns, read from the JSON of features; words are counted first and judged once each, and once in each post."""
     case = lambda t: F.when(tk.word_class(t) == "NOUN", F.get_json_object(tk.morphology(t), "$.Case"))
-    own = model.post_words(spark, folder).select(F.filter(F.transform("w", case), lambda c: c.isNotNull()).alias("c"))
-    own = own.select("c", F.explode(F.array_distinct("c")).alias("case_form")).select("case_form", F.size(F.filter("c", lambda c: c == F.col("case_form"))).alias("n"))
-    return own.groupBy("case_form").agg(F.sum("n").alias("frequency"), F.count("*").alias("posts_count")).orderBy(F.desc("frequency"))
+    posts = model.post_words(spark, folder)
+    words = posts.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequency = words.select(case(F.col("token")).alias("case_form"), "n").filter("case_form is not null").groupBy("case_form").agg(F.sum("n").alias("frequency"))
+    own = posts.select(F.explode(F.array_distinct(F.transform(F.array_distinct("w"), case))).alias("case_form")).filter("case_form is not null").groupBy("case_form").agg(F.count("*").alias("posts_count"))
+    return frequency.join(own, "case_form").select("case_form", "frequency", "posts_count").orderBy(F.desc("frequency"))
 
 
 @query("""SELECT forum, gender, count(*) AS frequency FROM annotated JOIN places USING (thread_id) WHERE pos IN ('NOUN', 'ADJ') GROUP BY forum, gender ORDER BY forum, frequency DESC""")
@@ -289,11 +292,11 @@ def _mentions(spark: SparkSession, folder: str, labels: list[str]) -> DataFrame:
     return _where(spark, folder, own)
 
 
-@query("""SELECT forum, entity AS person, count(*) AS mentions, count(DISTINCT id) AS posts_count FROM entities JOIN places USING (thread_id) WHERE label IN ('PERSON', 'PER') GROUP BY forum, entity HAVING count(*) > 1 ORDER BY forum, mentions DESC""")
+@query("""SELECT forum, entity AS person, count(*) AS mentions, count(DISTINCT id) AS posts_count FROM entities JOIN places USING (thread_id) WHERE label IN ('PERSON', 'PER') GROUP BY forum, entity HAVING count(*) > 5 ORDER BY forum, mentions DESC""")
 def persons_by_forum(spark: SparkSession, folder: str) -> DataFrame:
-    """Persons named more than once in a forum."""
+    """Persons named more than five times in a forum."""
     own = _mentions(spark, folder, ["PERSON", "PER"]).groupBy("forum", F.col("entity").alias("person")).agg(F.sum("n").alias("mentions"), F.count("*").alias("posts_count"))
-    return own.filter("mentions > 1").orderBy("forum", F.desc("mentions"))
+    return own.filter("mentions > 5").orderBy("forum", F.desc("mentions"))
 
 
 @query("""SELECT entity AS organization, count(*) AS mentions, count(DISTINCT forum) AS forums_mentioned FROM entities JOIN places USING (thread_id) WHERE label IN ('ORG', 'ORGANIZATION') GROUP BY entity ORDER BY mentions DESC, organization LIMIT 15""")
@@ -303,13 +306,27 @@ def top_organizations(spark: SparkSession, folder: str) -> DataFrame:
     return own.groupBy(F.col("entity").alias("organization")).agg(F.sum("n").alias("mentions"), F.count("*").alias("forums_mentioned")).orderBy(F.desc("mentions"), "organization").limit(15)
 
 
-@query("SELECT forum, entity AS place, count(*) AS mentions FROM entities JOIN places USING (thread_id) WHERE label IN ('GPE', 'LOC', 'LOCATION') AND (" + " OR ".join(f"entity LIKE '%{p}%'" for p in PLACE_PARTS) + ") GROUP BY forum, entity ORDER BY forum, mentions DESC")
-def places_by_forum(spark: SparkSession, folder: str) -> DataFrame:
-    """Places whose name has one of a few parts, by forum."""
-    part = reduce(lambda a, b: a | b, [F.col("entity").contains(p) for p in PLACE_PARTS])
+def _places_sql(parts: list[str]) -> str:
+    return "SELECT forum, entity AS place, count(*) AS mentions FROM entities JOIN places USING (thread_id) WHERE label IN ('GPE', 'LOC', 'LOCATION') AND (" + " OR ".join(f"entity LIKE '%{p}%'" for p in parts) + ") GROUP BY forum, entity ORDER BY forum, mentions DESC"
+
+
+def _places(spark: SparkSession, folder: str, parts: list[str]) -> DataFrame:
+    part = reduce(lambda a, b: a | b, [F.col("entity").contains(p) for p in parts])
     return _mentions(spark, folder, ["GPE", "LOC", "LOCATION"]).filter(part).groupBy("forum", F.col("entity").alias("place")).agg(F.sum("n").alias("mentions")).orderBy("forum", F.desc("mentions"))
 
 
+@query(_places_sql(PLACES))
+def places_by_forum(spark: SparkSession, folder: str) -> DataFrame:
+    """Holy places by forum."""
+    return _places(spark, folder, PLACES)
+
+
+@query(_places_sql(TOWNS))
+def towns_by_forum(spark: SparkSession, folder: str) -> DataFrame:
+    """Towns whose name has one of a few parts, by forum."""
+    return _places(spark, folder, TOWNS)
+
+
 @query("""SELECT forum, count(*) AS posts_with_entities, sum(n)::BIGINT AS total_entities, sum(persons)::BIGINT AS persons, sum(orgs)::BIGINT AS organizations, sum(gpes)::BIGINT AS places, round(avg(n), 2) AS avg_entities_per_post
 FROM (SELECT id, thread_id, count(*) AS n, count(*) FILTER (label = 'PERSON') AS persons, count(*) FILTER (label = 'ORG') AS orgs, count(*) FILTER (label = 'GPE') AS gpes FROM entities GROUP BY id, thread_id) JOIN places USING (thread_id) GROUP BY forum ORDER BY total_entities DESC""")
 def entity_stats_by_forum(spark: SparkSession, folder: str) -> DataFrame:

@@ -69,27 +69,19 @@ def post_linguistics(spark: SparkSession, folder: str, *columns: str) -> DataFra
     }).drop("w", "s", "content")
 
 
-def post_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per address of a post: id, thread_id, url, domain, category, trust, url_type."""
+def post_urls(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """One row per address of a post: id, thread_id, url, domain, category, trust, url_type, and ``columns`` of the post."""
     found = F.regexp_extract_all(F.replace("content_urls", F.lit("\\/"), F.lit("/")), F.lit(ADDRESS), F.lit(0))
-    each = posts(spark, folder, "thread_id", "content_urls").select("id", "thread_id", F.explode(found).alias("url"))
+    each = posts(spark, folder, "thread_id", "content_urls", *columns).select("id", "thread_id", *columns, F.explode(found).alias("url"))
     out = each.withColumn("domain", ur.domain(F.col("url"))).withColumn("category", ur.domain_category(F.col("domain"), OWN_DOMAINS))
     return out.withColumns({"trust": ur.trust_score(F.col("category")), "url_type": ur.url_type(F.col("url"), F.col("domain"))})
 
 
-# Patterns of the default entity annotator.
-ENTITIES = {
-    "PERSON": r"\p{Lu}\p{Ll}+(?:ski|cki|ska|cka|iuk|ec)\b",
-    "ORG": r"(?:redakcja|kaplica|parafia|szkoła|biblioteka|drużyna) \p{L}+",
-    "GPE": r"[0-9]{2}-[0-9]{3} \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-}
-
-
 def post_entities(spark: SparkSession, folder: str) -> DataFrame:
     """One row per entity that the default annotator finds: id, thread_id, label, entity."""
     own = posts(spark, folder, "thread_id", "content")
     labelled = lambda label: lambda e: F.struct(F.lit(label).alias("label"), e.alias("entity"))
-    found = F.concat(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(0)), labelled(k)) for k, p in ENTITIES.items()])
+    found = F.concat(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(0)), labelled(k)) for k, p in tk.ENTITIES.items()])
     return own.select("id", "thread_id", F.explode(found).alias("e")).select("id", "thread_id", "e.label", "e.entity").filter(tx.strip(F.col("entity")) != "")
 
 

@@ -2,7 +2,7 @@
 
 from zbior.functions import tokens as tk
 from zbior.functions import urls as ur
-from zbior.plans.model import ADDRESS, AUTHOR_SEPARATORS, ENTITIES, OWN_DOMAINS
+from zbior.plans.model import ADDRESS, AUTHOR_SEPARATORS, OWN_DOMAINS
 
 
 def quoted(words) -> str:
@@ -31,7 +31,7 @@ _pos = f"""CASE WHEN {matches('token', '^[0-9]+$')} THEN 'NUM' WHEN token IN ({q
 _case = f"""CASE WHEN {matches('token', '(?:owi|emu)$')} THEN 'Dat' WHEN {matches('token', '(?:ach|ech|ych)$')} THEN 'Loc' WHEN {matches('token', '(?:ami|em|ymi)$')} THEN 'Ins'
   WHEN {matches('token', '(?:ów|ego|y|i)$')} THEN 'Gen' WHEN {matches('token', 'ę$')} THEN 'Acc' ELSE 'Nom' END"""
 _gender = f"CASE WHEN {matches('token', '(?:a|ej|ą|ę)$')} THEN 'Fem' WHEN {matches('token', '(?:o|e)$')} THEN 'Neut' ELSE 'Masc' END"
-_entity = " UNION ALL ".join(f"SELECT id, thread_id, '{k}' AS label, unnest(regexp_extract_all(content, '{p}')) AS entity FROM posts" for k, p in ENTITIES.items())
+_entity = " UNION ALL ".join(f"SELECT id, thread_id, '{k}' AS label, unnest(regexp_extract_all(content, '{p}')) AS entity FROM posts" for k, p in tk.ENTITIES.items())
 
 MODEL = f"""WITH posts AS ({_latest('forum_posts')}), threads AS ({_latest('forum_threads')}), users AS ({_latest('forum_users')}),
 places AS (SELECT t.id AS thread_id, s.id AS section_id, s.title AS section, f.id AS forum_id, f.spider_name AS forum, f.title AS forum_title

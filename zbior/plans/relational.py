@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zbior.functions import dates as dt
@@ -104,15 +104,8 @@ def unquoted_posts(spark: SparkSession, folder: str) -> DataFrame:
     return _marked_up(spark, folder).select("id", tx.strip_quotes(F.col("html")).alias("own"))
 
 
-@query("""SELECT id, [x FOR x IN [url, 'www.x.example/y']] AS urls FROM posts WHERE content IS NOT NULL AND NOT regexp_matches(content, '(?i)https?://|www\\.|href') """, prelude=True)
-def outgoing_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Addresses in the markup of posts that name none themselves."""
-    own = _marked_up(spark, folder).join(model.posts(spark, folder, "content"), "id").filter(~F.col("content").rlike(r"(?i)https?://|www\.|href"))
-    return own.select("id", ur.extract_urls(F.col("html"), F.lit("https://elsewhere.example/")).alias("urls"))
-
-
 @query(None)
-def outgoing_urls_whole(spark: SparkSession, folder: str) -> DataFrame:
+def outgoing_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses in the markup of every post, those that its content names among them."""
     return _marked_up(spark, folder).select("id", ur.extract_urls(F.col("html"), F.lit("https://elsewhere.example/")).alias("urls"))
 
@@ -156,8 +149,7 @@ def posts_updated(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT domain, count(*) AS total_references, min(created_at) AS first_seen, max(created_at) AS last_seen FROM links JOIN posts USING (id) WHERE domain IS NOT NULL GROUP BY domain""", prelude=True)
 def domain_table(spark: SparkSession, folder: str) -> DataFrame:
     """Domains with counted references and times."""
-    links = model.post_urls(spark, folder).select("id", "domain").join(model.posts(spark, folder, "created_at"), "id")
-    return upsert.domain_table(links, "created_at").drop("id")
+    return upsert.domain_table(model.post_urls(spark, folder, "created_at"), "created_at").drop("id")
 
 
 @query("""SELECT p.id, min(t.id) AS resolved_thread FROM (SELECT id, thread_id, regexp_replace(regexp_extract(lower(url), '^[^:]+://([^/?#]*)', 1), '^www\\.', '') AS host, CAST(CAST(replace(thread_id, 't', '') AS BIGINT) AS VARCHAR) AS t FROM posts) p
@@ -192,28 +184,74 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(index, "sections", "tables").select("title", "href", F.col("url").alias("forum_id"))
 
 
-@query("""SELECT id, username, regexp_replace(trim(regexp_replace(content, '[\\s\\p{Z}\\x1c-\\x1f\\x85]+', ' ', 'g')), '^ | $', '', 'g') AS text, nullif(trim(regexp_replace(post_date, '[\\s\\p{Z}]+', ' ', 'g')), '') AS post_date FROM posts WHERE username IS NOT NULL AND regexp_matches(username, '[^\\s]') AND content IS NOT NULL AND post_date IS NOT NULL AND NOT regexp_matches(content, '[<>&]') AND NOT regexp_matches(username || post_date, '[<>&\\s]') """, prelude=True)
-def post_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Posts read back from thread pages that are written from the tables."""
-    own = model.posts(spark, folder, "username", "content", "post_date").filter("username is not null and content is not null and post_date is not null")
-    own = own.filter(F.col("username").rlike(r"[^\s]") & ~F.col("content").rlike("[<>&]") & ~F.concat("username", "post_date").rlike(r"[<>&\s]"))
-    cell = [F.lit('<table><tr class="row1"><td><b class="postauthor">'), F.col("username"), F.lit('</b></td><td><span class="postdate">'), F.col("post_date"), F.lit('</span><a href="viewtopic.php?p=1">#</a><div class="postbody">'), F.col("content"), F.lit("<blockquote>cytat</blockquote></div></td></tr></table>")]
-    page = own.select(F.xxhash64("id").alias("page_id"), F.col("id").alias("url"), F.concat(*cell).alias("html"))
-    return pages.extract(page, "posts", "tables").select(F.col("url").alias("id"), "username", "text", "post_date")
-
-
 def _one_space(column: str) -> str:
     return f"trim(regexp_replace({column}, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))"
 
 
+def _shown(c: Column) -> Column:
+    """Text as it stands in markup."""
+    return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _page(df: DataFrame, *parts: str) -> DataFrame:
+    """Pages (page_id, url, html) of which each is a row's ``id``; parts that name a column stand for its text."""
+    html = F.concat(*[_shown(F.col(p[1:])) if p.startswith("$") else F.lit(p) for p in parts])
+    return df.select(F.xxhash64("id").alias("page_id"), F.col("id").alias("url"), html.alias("html"))
+
+
 @query(f"""SELECT * FROM (SELECT id, {_one_space('username')} AS username, {_one_space("coalesce(content, '')")} AS text, nullif({_one_space('post_date')}, '') AS post_date FROM posts) WHERE username <> ''""", prelude=True)
-def post_pages_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Every post with an author read back from thread pages in which the markup's signs are escaped."""
-    shown = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def post_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every post with an author read back from thread pages, of one style and of the other by turns."""
     own = model.posts(spark, folder, "username", "content", "post_date")
-    cell = [F.lit('<table><tr class="row1"><td><b class="postauthor">'), shown(F.col("username")), F.lit('</b></td><td><span class="postdate">'), shown(F.col("post_date")), F.lit('</span><a href="viewtopic.php?p=1">#</a><div class="postbody">'), shown(F.col("content")), F.lit("<blockquote>cytat</blockquote></div></td></tr></table>")]
-    page = own.select(F.xxhash64("id").alias("page_id"), F.col("id").alias("url"), F.concat(*cell).alias("html"))
-    return pages.extract(page, "posts", "tables").select(F.col("url").alias("id"), "username", "text", "post_date")
+    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    rows = _page(own.filter(even), '<table><tr class="row1"><td><b class="postauthor">', "$username", '</b></td><td><span class="postdate">', "$post_date", '</span><a href="viewtopic.php?p=1">#</a><div class="postbody">', "$content", "<blockquote>cytat</blockquote></div></td></tr></table>")
+    items = _page(own.filter(~even), '<div class="post"><dl class="postprofile"><dt><a class="username">', "$username", '</a></dt></dl><div class="postbody"><span class="postdate">', "$post_date", '</span><a href="viewtopic.php?p=1">#</a><div class="content"><div class="quote"><p>cytat</p></div>', "$content", "</div></div></div>")
+    found = pages.extract(rows, "posts", "tables").unionByName(pages.extract(items, "posts", "lists"))
+    return found.select(F.col("url").alias("id"), "username", "text", "post_date")
+
+
+@query(f"""SELECT id, {_one_space('title')} AS title, url AS href, nullif({_one_space('author')}, '') AS author, coalesce(replies, 0) AS replies, views, nullif({_one_space('last_post_date')}, '') AS last_post_date FROM threads WHERE {_one_space('title')} <> ''""", prelude=True)
+def thread_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every thread with a title read back from section pages, of one style and of the other by turns."""
+    own = model.threads(spark, folder, "title", "url", "author", "replies", "views", "last_post_date").withColumns({"replies": F.coalesce(F.col("replies").cast("string"), F.lit("-")), "views": F.col("views").cast("string")})
+    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    rows = _page(own.filter(even), '<table><tr><th>Temat</th></tr><tr><td class="row1"><a class="topictitle" href="', "$url", '">', "$title", '</a></td><td><p class="topicauthor">', "$author", '</p></td><td><p class="replies">', "$replies", '</p></td><td><p class="views">', "$views", '</p></td><td class="lastpost"><p class="lastpostdate">', "$last_post_date", "</p></td></tr></table>")
+    items = _page(own.filter(~even), '<ul><li class="row sticky"><a class="topictitle" href="x">Regulamin</a></li><li class="row bg1"><a class="topictitle" href="', "$url", '">', "$title", '</a><div class="topic-poster">', "$author", '</div><dd class="posts">Odpowiedzi: ', "$replies", '</dd><dd class="views">', "$views", ' Odsłony</dd><dd class="lastpost"><time>', "$last_post_date", "</time></dd></li></ul>")
+    found = pages.extract(rows, "threads", "tables").unionByName(pages.extract(items, "threads", "lists"))
+    return found.select(F.col("url").alias("id"), "title", "href", "author", tx.counter(F.col("replies")).alias("replies"), tx.counter(F.col("views")).alias("views"), "last_post_date")
+
+
+@query(f"""SELECT id, {_one_space('username')} AS username, nullif({_one_space('join_date')}, '') AS join_date, posts_count, CASE WHEN lower({_one_space('gender')}) IN ('m', 'mężczyzna', 'mezczyzna') THEN 'M' WHEN lower({_one_space('gender')}) IN ('k', 'kobieta') THEN 'K' END AS gender,
+nullif({_one_space('religion')}, '') AS religion, nullif({_one_space('localization')}, '') AS localization FROM users WHERE {_one_space('username')} <> ''""", prelude=True)
+def user_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user read back from the profile box beside a post, of one style and of the other by turns."""
+    own = model.users(spark, folder, "username", "join_date", "posts_count", "gender", "religion", "localization").withColumn("posts_count", F.col("posts_count").cast("string"))
+    even = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    rows = _page(own.filter(even), '<table><tr class="row1"><td><b class="postauthor">', "$username", '</b><span class="postdetails"><b>Dołączył(a):</b> ', "$join_date", "<br /><b>Posty:</b> ", "$posts_count", "<br /><b>Płeć:</b> ", "$gender", "<br /><b>wyznanie:</b> ", "$religion", "<br /><b>Lokalizacja:</b> ", "$localization", '</span></td><td><div class="postbody">x</div></td></tr></table>')
+    items = _page(own.filter(~even), '<div class="post"><dl class="postprofile"><dt><a class="username">', "$username", "</a></dt><dd><strong>Rejestracja:</strong> ", "$join_date", "</dd><dd><strong>Posty:</strong> ", "$posts_count", "</dd><dd><strong>Płeć:</strong> ", "$gender", "</dd><dd><strong>Wyznanie:</strong> ", "$religion", "</dd><dd><strong>Lokalizacja:</strong> ", "$localization", '</dd></dl><div class="postbody"><div class="content">x</div></div></div>')
+    found = pages.extract(rows, "posts", "tables").unionByName(pages.extract(items, "posts", "lists"))
+    plain = lambda c: F.nullif(F.trim(F.regexp_replace(unescape(c), f"{dt.SPACE}+", " ")), F.lit("")).alias(c)
+    unescape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return found.select(F.col("url").alias("id"), "username", pages.profile(F.col("profile")).alias("p")).select("id", "username", "p.*").select("id", "username", "posts_count", "gender", *[plain(c) for c in ("join_date", "religion", "localization")])
+
+
+@query("""SELECT id, [url || '&start=25', url || '&start=50'] AS next FROM forum_sections""")
+def page_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of each section that its first page links to."""
+    own = table(spark, folder, "forum_sections", "id", "url")
+    link = lambda n: ['<a href="', "$url", f'&amp;start={n}&amp;sid=abc">{n}</a>']
+    page = _page(own, *link(50), *link(25), *link(25), *link(0), '<a href="viewtopic.php?t=5&amp;start=25">x</a>').join(own.withColumnRenamed("url", "own"), F.col("url") == F.col("id"))
+    return page.select("id", pages.page_links(F.replace("html", F.lit("&amp;amp;"), F.lit("&amp;")), F.col("own")).alias("next"))
+
+
+@query("""WITH RECURSIVE links AS (SELECT f.id AS src, s.id AS dst FROM forums f JOIN forum_sections s ON s.forum_id = f.id UNION SELECT section_id, id FROM forum_threads UNION SELECT thread_id, id FROM forum_posts),
+reached AS (SELECT id AS url FROM forums WHERE id = (SELECT min(id) FROM forums) UNION SELECT l.dst FROM links l JOIN reached r ON l.src = r.url) SELECT url FROM reached""")
+def reachable_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything that can be reached from the first forum over its sections, threads and posts."""
+    forums = table(spark, folder, "forums", "id")
+    edge = lambda df, src: df.select(F.col(src).alias("src"), F.col("id").alias("dst"))
+    links = edge(table(spark, folder, "forum_sections", "id", "forum_id"), "forum_id").unionByName(edge(model.threads(spark, folder, "section_id"), "section_id")).unionByName(edge(model.posts(spark, folder, "thread_id"), "thread_id"))
+    return pages.discover(links, forums.select(F.min("id").alias("url")))
 
 
 _count = lambda test, name: f"count(DISTINCT domain) FILTER ({test}) AS {name}"

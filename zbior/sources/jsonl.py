@@ -1,4 +1,4 @@
-"""JSON lines in and out, and relational tables as Parquet."""
+"""JSON lines in and out."""
 
 from __future__ import annotations
 
@@ -14,9 +14,3 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = POSTS) -> DataFrame
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """``df`` as a Parquet table, replacing what was there."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

@@ -142,14 +142,14 @@ def _posts(page: Node, style: str) -> list[tuple]:
         inner = _first(body.find(None, "content")) or body
         link = _first(row.find("a", test=lambda n: "p=" in n.attrs.get("href", "")))
         profile = _first(row.find(None, "postprofile", "postdetails"))
-        out.append((author.text(), own_text(inner), inner.markup(), _say(_first(row.find(None, "postdate") or row.find("time"))), link.attrs["href"] if link else None, profile.markup() if profile else None))
+        out.append((author.text(), own_text(inner), inner.markup(), _say(_first(row.find(None, "postdate") or row.find("time"))), _say(_first(row.find("p", "author"))), link.attrs["href"] if link else None, profile.markup() if profile else None))
     return out
 
 
 _KINDS = {
     "sections": (_sections, "title string, href string, sub boolean"),
     "threads": (_threads, "title string, href string, author string, replies string, views string, last_post_date string, last_post_author string"),
-    "posts": (_posts, "username string, text string, markup string, post_date string, href string, profile string"),
+    "posts": (_posts, "username string, text string, markup string, post_date string, author_line string, href string, profile string"),
 }
 
 

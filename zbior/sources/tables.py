@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zbior.session import cut_lineage
@@ -48,23 +48,20 @@ def latest_wide(df: DataFrame, key: str, order: str) -> DataFrame:
 
     The keys with several rows are found from the narrow columns; while they are few enough, each task drops
     the older rows by looking them up, else rows are reduced by key, as they are where the scan is too small to
-    busy all cores and a shuffle spreads it. Null keys are expected nowhere (here they would all stay).
+    busy all cores and a shuffle spreads it. The rows are the same either way: null keys are one key, and of rows whose
+    ``order`` is null everywhere one stays.
     """
     if _few(df):
         return latest(df, [key], [order])
     each = df.groupBy(key, order).agg(F.count("*").alias("__n"))
-    again = each.groupBy(key).agg(F.sum("__n").alias("__rows"), F.max(order).alias("__last"), F.max_by("__n", order).alias("__top")).filter("__rows > 1")
-    again = cut_lineage(again.select(key, "__last", (F.col("__top") > 1).alias("__tied")))
+    rank = F.struct(order)
+    again = each.groupBy(key).agg(F.sum("__n").alias("__rows"), F.max(rank).alias("__last"), F.max_by("__n", rank).alias("__top")).filter("__rows > 1")
+    again = cut_lineage(again.select(F.col(key).alias("__key"), F.col("__last")[order].alias("__last"), (F.col("__top") > 1).alias("__tied")))
     count, tied = again.agg(F.count("*"), F.count_if("__tied")).first()
     if count > BROADCAST_KEYS:
         return latest(df, [key], [order])
-    plain = df.join(F.broadcast(again), key, "left").filter(F.col("__last").isNull() | (F.col(order) == F.col("__last")) & ~F.col("__tied")).select(df.columns)
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    plain = df.join(F.broadcast(again), same, "left").filter(F.col("__tied").isNull() | F.col(order).eqNullSafe(F.col("__last")) & ~F.col("__tied")).select(df.columns)
     if not tied:
         return plain
-    return plain.unionByName(latest(df.join(F.broadcast(again.filter("__tied").select(key)), key, "left_semi"), [key], [order]).select(df.columns))
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key by a window, for small dimension tables with unorderable columns."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return plain.unionByName(latest(df.join(F.broadcast(again.filter("__tied").select("__key")), same, "left_semi"), [key], [order]).select(df.columns))

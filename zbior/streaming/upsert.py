@@ -7,34 +7,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from zbior.operators.upsert import replace_by_key
+from zbior.sources import versioned
 
+#: Buckets of a table by the hash of its key.
+BUCKETS = 64
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(int(n[2:]) for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+def _places(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[str]]:
+    """For each bucket the folders of its versions that were written whole (up to ``before``), oldest first."""
+    fs, _ = versioned.filesystem(spark, target)
+    out: dict[int, list[str]] = {}
+    for v in versioned.versions(spark, target):
+        if before is None or v < before:
+            for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}")):
+                if (name := s.getPath().getName()).startswith("bucket="):
+                    out.setdefault(int(name[7:]), []).append(f"{target}/v={v}/{name}")
+    return out
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
     """The table as of the last batch that was written whole, None before the first."""
-    done = _versions(spark, target)
-    return spark.read.parquet(f"{target}/v={done[-1]}") if done else None
+    places = _places(spark, target)
+    return spark.read.parquet(*(p[-1] for p in places.values())) if places else None
 
 
-def upsert_stream(source: DataFrame, target: str, checkpoint: str, keys: list[str], seq: str, available_now: bool = True) -> StreamingQuery:
-    """A query that merges each batch of ``source`` into the versioned table at ``target`` (last ``seq`` wins).
+def upsert_stream(source: DataFrame, target: str, checkpoint: str, keys: list[str], seq: str, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """A query that merges each batch of ``source`` into the table at ``target`` (last ``seq`` wins).
 
-    A batch writes a new version beside the old one and the last whole version counts, so that a batch that is
-    run again after a failure overwrites its own version and changes nothing else.
+    The table lies in ``buckets`` by the hash of ``keys``; a batch writes those that it touches beside their old
+    versions, and no others; versions that two later ones follow are removed. A batch that is run again after a
+    failure overwrites its own version and changes nothing else.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, target) if v < number]
-        old = spark.read.parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
-        replace_by_key(old, batch, keys, seq).write.mode("overwrite").parquet(f"{target}/v={number}")
+        touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # as many as there are buckets at most
+        if not touched:
+            return
+        places = _places(spark, target, number)
+        before = [places[b][-1] for b in touched if b in places]
+        old = spark.read.parquet(*before) if before else batch.limit(0)
+        merged = replace_by_key(old, batch, keys, seq).withColumn("bucket", bucket)
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number}")
+        fs, _ = versioned.filesystem(spark, target)
+        for own in _places(spark, target).values():
+            for p in own[: -versioned.KEPT]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
 
     writer = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
