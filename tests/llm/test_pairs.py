@@ -247,3 +247,11 @@ def test_an_item_with_several_texts(spark, block_mb):
 def test_equal_runs_share_a_sampled_run(passage, before, after):
     text = lambda *parts: " ".join(f"w{x}" for p in parts for x in p)
     assert np.intersect1d(leakage.sampled_runs(text(before, passage), 20, {}), leakage.sampled_runs(text(passage, after), 20, {})).size
+
+
+def test_recurring_digests_are_all_in_the_bitmap(spark):
+    h = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 5000)
+    edge = [0, -1, (1 << 63) - 1, -(1 << 63)]
+    bitmap = spans.recurring(spark.createDataFrame([(int(x),) for x in [*h, *edge]], "h long"))
+    assert bitmap.nbytes == 1 << spans.BITS - 3 and spans._in_bitmap(bitmap, np.array([*h, *edge], np.int64).view(np.uint64)).all()
+    assert spans._in_bitmap(bitmap, np.random.default_rng(4).integers(0, (1 << 64) - 1, 100_000, dtype=np.uint64)).sum() < 20

@@ -26,6 +26,8 @@ BROADCAST_KEYS = 2_000_000
 #: Contents with one digest from which it is replaced by finer ones, and most digests for which that is done (the
 #: most frequent); the result is the same without.
 HOT, MAX_HOT = 50, 500_000
+#: Bits of the bitmap of digests that recur, 32 MB whatever their number; where it fills up, more digests pass that do not recur.
+BITS = 28
 
 
 def cut_points(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,25 +69,55 @@ DIGESTS = "h long, g long, k binary, spans array<struct<s:int,e:int>>"
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
-def chunk_digests(records: DataFrame, span: int, hot: list[int] = ()) -> DataFrame:
+def recurring(digests: DataFrame) -> np.ndarray:
+    """A bitmap by the first ``BITS`` bits of each ``h`` of ``digests``, built in 64 slices of equal size."""
+    high = 6
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            part = (h >> np.uint64(64 - high)).astype(np.int64)
+            for k in np.unique(part).tolist():
+                bits = own.setdefault(k, np.zeros(1 << (BITS - high), bool))
+                bits[((h[part == k] << np.uint64(high)) >> np.uint64(64 - BITS + high)).astype(np.int64)] = True
+        for k, bits in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+    sliced = digests.select(F.shiftrightunsigned("h", 64 - high).cast("int").alias("part"), "h").repartition(1 << high, "part")
+    out = np.zeros((1 << high, 1 << (BITS - high - 3)), np.uint8)
+    for r in sliced.mapInArrow(fill, "part int, bits binary").toLocalIterator():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _in_bitmap(bitmap: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    at = (digests >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def chunk_digests(records: DataFrame, span: int, hot: list[int] = (), bitmap: np.ndarray | None = None) -> DataFrame:
     """``h`` (digest) and ``k`` of every chunk of ``records`` (k, content), each pair once for each batch.
 
     For a digest in ``hot``, in its place all runs of ``span`` characters around its window, with two hashes
     ``h`` and ``g`` and the parts of the content that they cover, so that contents meet that share a whole run, and
     are known to without being compared. A rule of thousands of dashes has one digest and one run, whatever
     its length. Copies of one content within a batch count once, so that a content that is copied a million
-    times leaves its batches as a few rows.
+    times leaves its batches as a few rows. With ``bitmap`` (from ``recurring``) digests that are not in it are left out.
     """
-    sent = records.sparkSession.sparkContext.broadcast(np.array(sorted(hot), np.int64).view(np.uint64)) if hot else None
+    sent = records.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64).view(np.uint64), bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value if sent else np.zeros(0, np.uint64)
+        often, bitmap = sent.value
         for batch in batches:
             by = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             keys, texts = pa.array(list(by), pa.binary()), list(by.values())
             for low in range(0, len(texts), 2000):
                 own = texts[low : low + 2000]
                 owner, pos, digest = cut_points(own, span)
+                if bitmap is not None:
+                    again = _in_bitmap(bitmap, digest)
+                    owner, pos, digest = owner[again], pos[again], digest[again]
                 finer = np.isin(digest, often)
                 coarse = np.unique(np.stack([owner[~finer].astype(np.uint64), digest[~finer]]), axis=1)
                 h, g, k, covered = coarse[1].view(np.int64), [None] * coarse.shape[1], coarse[0].astype(np.int64), [None] * coarse.shape[1]
@@ -189,14 +221,14 @@ def linked_contents(records: DataFrame, span: int = 120, places: bool = True) ->
     Only contents that share a digest meet, in a join whose skew the engine splits, never in a group held
     by one task. A digest that very many contents share (a line longer than the window but shorter than
     ``span``, say) gives way to whole runs, so that it makes no more pairs than there are links. The texts are
-    hashed twice, since keeping the digests until it is known which of them are hot would gather a hot one's rows.
+    hashed twice, the second time for the digests that recur, since keeping the digests until it is known which of them are hot would gather a hot one's rows.
     """
     if span <= WINDOW:
         raise ValueError(f"span must exceed {WINDOW}")
     contents = records.select("k", "content")
-    counted = chunk_digests(contents, span).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
-    hot = [r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
-    digests = chunk_digests(contents, span, hot)
+    counted = cut_lineage(chunk_digests(contents, span).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    hot = [r["h"] for r in counted.filter(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()]
+    digests = chunk_digests(contents, span, hot, recurring(counted))
     each = digests.select("h", "g", "k").distinct()
     a, b = (each.select("h", F.col("g").alias(f"g{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
     met = a.join(b, "h").filter("ka < kb and ga <=> gb").groupBy("ka", "kb").agg(F.bool_or(F.col("ga").isNull()).alias("unsure"))
