@@ -86,7 +86,7 @@ def recurring(digests: DataFrame) -> np.ndarray:
 
     sliced = digests.select(F.shiftrightunsigned("h", 64 - high).cast("int").alias("part"), "h").repartition(1 << high, "part")
     out = np.zeros((1 << high, 1 << (BITS - high - 3)), np.uint8)
-    for r in sliced.mapInArrow(fill, "part int, bits binary").toLocalIterator():
+    for r in sliced.mapInArrow(fill, "part int, bits binary").collect():  # 64 slices, of fixed size in all
         out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
